@@ -17,6 +17,18 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("s", "text_sha256")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenreel.llm.simhash import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenreel.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str = "piece_bpe_32k.model") -> DataFrame:
     import public_tokenizers
 
@@ -27,7 +39,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str = "piece_bpe
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_exact_dedup, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op6_mixing, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
