@@ -23,6 +23,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenreel.llm.html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenreel.llm.mixing import mix
 
@@ -51,7 +57,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str = "piece_bpe
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op6_mixing, op7_language, op9_toxicity, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op4_main_text, op6_mixing, op7_language, op9_toxicity, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
