@@ -41,6 +41,12 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenreel.llm.binary_codes import linked_vectors
+
+    return linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenreel.llm.toxicity import score
 
@@ -57,7 +63,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str = "piece_bpe
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op4_main_text, op6_mixing, op7_language, op9_toxicity, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op4_main_text, op6_mixing, op7_language, op8_embeddings, op9_toxicity, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
