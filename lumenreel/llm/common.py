@@ -64,3 +64,26 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+#: Bits of one bitmap of Spark's bitmap_construct_agg, and the most that a filter has (8 MB, whatever the input).
+SLICE, FILTER_BITS = 32_768, 26
+
+
+def _cell(h: Column, bits: int) -> tuple[Column, Column]:
+    cell = F.shiftrightunsigned(h, 64 - bits)
+    return F.floor(cell / SLICE).cast("long"), F.pmod(cell, F.lit(SLICE)).cast("int")
+
+
+def mark_maybe(rows: DataFrame, h: str, keys: DataFrame, key: str, flag: str) -> DataFrame:
+    """Adds ``flag``: false if ``rows.h`` (a 64-bit hash) is in no row of ``keys.key``, else true or, rarely, false alarm.
+
+    A bitmap of the keys' leading bits, of bounded size, goes to every task; nothing is shuffled.
+    """
+    bits = min(FILTER_BITS, max(15, (16 * max(1, keys.count())).bit_length()))
+    slice_, place = _cell(F.col(key), bits)
+    bitmap = keys.select(slice_.alias("b_slice"), place.alias("place")).groupBy("b_slice").agg(F.expr("bitmap_construct_agg(place)").alias("b_bits"))
+    slice_, place = _cell(F.col(h), bits)
+    out = rows.withColumn("b_of", slice_).withColumn("b_place", place).join(F.broadcast(bitmap), F.col("b_of") == F.col("b_slice"), "left")
+    byte = F.expr("ascii(decode(substring(b_bits, b_place div 8 + 1, 1), 'ISO-8859-1'))")
+    return out.withColumn(flag, F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, b_place % 8)")), F.lit(0)) != 0).drop("b_of", "b_place", "b_slice", "b_bits")

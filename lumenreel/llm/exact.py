@@ -5,7 +5,7 @@ all rows costs one row per task.  A directory of hash prefixes (:mod:`lumenreel.
 that hold too many distinct keys; the index lies in the shared folder, dealt by bucket, so that an owner task holds a
 range of keys.  Where rows share a key their bytes are compared with the bytes of the row that stays, and rows that
 differ are chained: grouped by the bytes themselves.  For that, only texts that may share a key travel: a bitmap of at
-most ``BITMAP_BITS`` bits (8 MB, whatever the input) drops nearly all others where they are read.
+most 8 MB, whatever the input, drops nearly all others where they are read.
 
 Results for odd input
     null text: equals empty text.  null doc_id: ranks below every number; where all of a group are null, keep_id is
@@ -21,12 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenreel.llm import directory
-from lumenreel.llm.common import discard, durable
+from lumenreel.llm.common import discard, durable, mark_maybe
 
 #: Distinct keys that a bucket of the index holds before it splits.
 BUCKET_KEYS = 20_000
-BITMAP_BITS = 26
-SLICE = 32_768  # bits of one bitmap of Spark's bitmap_construct_agg
 
 ORACLE = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents)
@@ -45,12 +43,6 @@ def _keyed(docs: DataFrame, weak: Callable[[Column], Column], strong: Callable[[
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), weak(text).alias("h"), strong(text).alias("s"))
 
 
-def _maybe_shared(h: Column, bits: int) -> tuple[Column, Column]:
-    """Slice and place of a hash in a bitmap of 2**bits bits."""
-    cell = F.shiftrightunsigned(h, 64 - bits)
-    return F.floor(cell / SLICE).cast("long"), F.pmod(cell, F.lit(SLICE)).cast("int")
-
-
 def build_index(rows: DataFrame) -> DataFrame:
     """The index of ``rows`` (doc_id, uid, h, s): per key its staying row and size, dealt by bucket, on shared files."""
     keys = durable(rows.groupBy("h", "s").agg(F.max(F.struct("doc_id", "uid")).alias("stay"), F.count(F.lit(1)).alias("n")))
@@ -93,14 +85,7 @@ def exact_dedup(docs: DataFrame, weak: Callable[[Column], Column] = F.xxhash64,
 
 def _collisions(keyed: DataFrame, shared: DataFrame) -> DataFrame:
     """Rows whose bytes differ from those of the row that stays for their key: c_doc_id, c_h, c_s, chain (the text)."""
-    n = max(1, shared.count())
-    bits = min(BITMAP_BITS, max(15, (16 * n).bit_length()))
-    piece, place = _maybe_shared(F.col("h"), bits)
-    bitmap = shared.select(piece.alias("piece"), place.alias("place")).groupBy("piece").agg(F.expr("bitmap_construct_agg(place)").alias("bits"))
-    bitmap = bitmap.withColumnRenamed("piece", "b_piece")
-    bit = F.expr("(ascii(decode(substring(bits, place div 8 + 1, 1), 'ISO-8859-1')) >> (place % 8)) & 1")
-    near = keyed.withColumn("piece", piece).withColumn("place", place).join(F.broadcast(bitmap), F.col("piece") == F.col("b_piece"))
-    near = near.where(bit == 1).select("doc_id", "text", "h", "s")
+    near = mark_maybe(keyed, "h", shared, "h", "near").where("near").drop("near")
     keys = shared.select(F.col("h").alias("k_h"), F.col("s").alias("k_s"), F.col("stay.doc_id").alias("keep_id"))
     held = near.join(keys, (F.col("h") == F.col("k_h")) & (F.col("s") == F.col("k_s"))).select("doc_id", "text", "h", "s", "keep_id")
     stays = held.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["h", "s"])

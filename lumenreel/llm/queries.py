@@ -23,12 +23,24 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenreel.llm.sharding import assign
+
+    return assign(table(spark, sf_dir, "documents"))
+
+
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenreel.llm.html import extract
 
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenreel.llm.lines import line_digests
+
+    return line_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenreel.llm.mixing import mix
 
@@ -63,10 +75,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str = "piece_bpe
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op4_main_text, op6_mixing, op7_language, op8_embeddings, op9_toxicity, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_sharding, op4_main_text, op5_line_dedup, op6_mixing, op7_language, op8_embeddings, op9_toxicity, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from lumenreel.llm import exact
+    from lumenreel.llm import exact, lines, sharding
 
-    return {"op1_exact_dedup": exact.ORACLE}
+    return {"op1_exact_dedup": exact.ORACLE, "op3_sharding": sharding.ORACLE, "op5_line_dedup": lines.ORACLE}
