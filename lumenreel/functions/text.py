@@ -59,6 +59,24 @@ def token_set_score(a: str | None, b: str | None) -> int:
     return int(best)
 
 
+def score_bound(one: frozenset[str], two: frozenset[str]) -> int:
+    """A number that :func:`token_set_score` of two sets of words can't exceed, from the words' lengths alone."""
+    if not one or not two:
+        return 0
+    both = one & two
+    if both and (len(both) == len(one) or len(both) == len(two)):
+        return 100
+    shared = sum(map(len, both))
+    sect = shared + len(both) - 1 if both else 0
+    x = sum(map(len, one)) - shared + len(one) - len(both) - 1
+    y = sum(map(len, two)) - shared + len(two) - len(both) - 1
+    gap = 1 if sect else 0
+    best = 100 - 100 * abs(x - y) / max(1, 2 * (sect + gap) + x + y)
+    if sect:
+        best = max(best, 100 - 100 * (gap + min(x, y)) / (2 * sect + gap + min(x, y)))
+    return int(best)
+
+
 def sequence_score(a: str | None, b: str | None) -> int:
     """0 to 100 by matching blocks (the standard library's), the plain alternative."""
     from difflib import SequenceMatcher

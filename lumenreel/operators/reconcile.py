@@ -5,10 +5,13 @@ Lines are rows (container, line_no, text) of either side.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenreel.functions.text import normalise_line, token_set_ratio, tokens
+from lumenreel.functions.text import normalise_line, score_bound, token_set_score, tokens
 
 
 def lines_of(df: DataFrame, container: str, text: str, least: int = 3) -> DataFrame:
@@ -28,45 +31,51 @@ def missing_exact(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.select("text").distinct().join(right.select("text").distinct(), "text", "left_anti")
 
 
-def _parts(df: DataFrame) -> DataFrame:
-    """Of pairs (text, other): bounds lo and hi of the token-set score, from the lengths of shared and own words alone."""
-    words = lambda c: F.array_distinct(F.split(c, " "))
-    size = lambda a: F.length(F.array_join(a, " ")).cast("double")
-    df = df.withColumn("_a", words(F.col("text"))).withColumn("_b", words(F.col("other")))
-    df = df.withColumn("_s", size(F.array_intersect("_a", "_b"))).withColumn("_x", size(F.array_except("_a", "_b"))).withColumn("_y", size(F.array_except("_b", "_a")))
-    gap = F.when(F.col("_s") > 0, 1.0).otherwise(0.0)
-    own = lambda c: F.when(F.col("_s") > 0, 100 - 100 * (gap + F.col(c)) / (2 * F.col("_s") + gap + F.col(c))).otherwise(0.0)
-    low = F.when((F.col("_s") > 0) & ((F.col("_x") == 0) | (F.col("_y") == 0)), 100.0).otherwise(F.greatest(own("_x"), own("_y")))
-    whole = 2 * (F.col("_s") + gap) + F.col("_x") + F.col("_y")
-    high = F.greatest("lo", F.floor(100 - 100 * F.abs(F.col("_x") - F.col("_y")) / whole))
-    return df.withColumn("lo", F.floor(low).cast("int")).withColumn("hi", high.cast("int")).drop("_a", "_b", "_s", "_x", "_y")
+#: Texts that look for a match at once: their number, not the other side's, bounds what a task holds.
+QUERIES = 5_000
 
 
-def best_matches(left: DataFrame, right: DataFrame, enough: int | None = None) -> DataFrame:
+def best_matches(left: DataFrame, right: DataFrame, enough: int = 101) -> DataFrame:
     """Each distinct text of ``left`` with the best token-set score among ``right``'s texts: text, best, best_text (null: none).
 
-    Equal texts match by an equi-join.  The rest meets where two texts share a word's first or last three letters.  For each
-    pair, bounds of the score follow from word lengths, in native expressions; only pairs whose upper bound beats the
-    text's best lower bound are scored in Python.  ``enough``: texts with a lower bound of so much aren't scored further, their
-    best is that bound.  Of equal scores the shorter text wins, then the first in order.
+    Equal texts match by an equi-join.  The rest is a set of queries against all rows: at most ``QUERIES`` of them at a time go
+    to every task, which scans its part of the other side and keeps one best row per query; a pair is scored in full only if
+    the bound that follows from word lengths beats the best so far.  ``enough``: a query that has reached so much looks no
+    further, its best is then at least that.  Of equal scores the shorter text wins, then the first in order.
     """
     ours, theirs = left.select("text").distinct(), right.select("text").distinct()
-    same = ours.join(theirs, "text", "left_semi").select("text", F.lit(100).alias("best"), F.col("text").alias("best_text"))
+    out = ours.join(theirs, "text", "left_semi").select("text", F.lit(100).alias("best"), F.col("text").alias("best_text"))
     rest = ours.join(theirs, "text", "left_anti")
-    marks = F.expr("array_distinct(concat(transform(split(lower(text), ' '), w -> left(w, 3)), transform(split(lower(text), ' '), w -> concat('~', right(w, 3)))))")
-    block = lambda df, name: df.select(F.col("text").alias(name), F.explode(marks).alias("block"))
-    pairs = _parts(block(rest, "text").join(block(theirs, "other"), "block").select("text", "other").distinct())
-    floor = pairs.groupBy("text").agg(F.max("lo").alias("floor"))
-    open_ = pairs.join(floor, "text").where((F.col("lo") == F.col("floor")) | (F.col("hi") > F.col("floor")))
-    settled = F.col("lo") == F.col("hi")
-    if enough is not None:
-        settled = settled | (F.col("floor") >= enough)
-    known = open_.where(settled).select("text", "other", F.col("lo").alias("best"))
-    scored = open_.where(~settled).select("text", "other", token_set_ratio("text", "other").alias("best"))
-    found = known.unionByName(scored).groupBy("text").agg(F.min(F.struct((-F.col("best")).alias("k"), F.length("other").alias("n"), "other")).alias("m"))
-    found = found.select("text", (-F.col("m.k")).alias("best"), F.col("m.other").alias("best_text"))
-    out = rest.join(found, "text", "left").select("text", F.coalesce("best", F.lit(0)).alias("best"), "best_text")
-    return same.unionByName(out)
+    blocks = -(-rest.count() // QUERIES)
+    for k in range(blocks):
+        some = rest.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
+        asked = theirs.sparkSession.sparkContext.broadcast(sorted(r.text for r in some.collect()))
+        found = theirs.mapInArrow(_scan(asked, enough), "text string, best int, other string")
+        found = found.groupBy("text").agg(F.min(F.struct((-F.col("best")).alias("k"), F.length("other").alias("n"), "other")).alias("m"))
+        found = found.select("text", (-F.col("m.k")).alias("best"), F.col("m.other").alias("best_text"))
+        out = out.unionByName(some.join(found, "text", "left").select("text", F.coalesce("best", F.lit(0)).alias("best"), "best_text"))
+    return out
+
+
+def _scan(asked, enough: int):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = asked.value
+        words = [frozenset(t.split()) for t in texts]
+        best: list[tuple[int, int, str] | None] = [None] * len(texts)
+        for batch in batches:
+            for other in batch.column(0).to_pylist():
+                theirs = frozenset(other.split())
+                for k, mine in enumerate(words):
+                    now = best[k]
+                    if now is not None and now[0] <= -enough or now is not None and score_bound(mine, theirs) < -now[0]:
+                        continue
+                    row = (-token_set_score(texts[k], other), len(other), other)
+                    if now is None or row < now:
+                        best[k] = row
+        rows = [(t, -b[0], b[2]) for t, b in zip(texts, best, strict=True) if b is not None]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], ["text", "best", "other"])
+
+    return scan
 
 
 def missing_fuzzy(left: DataFrame, right: DataFrame, limit: int = 85) -> DataFrame:
