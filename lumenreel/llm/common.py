@@ -80,10 +80,12 @@ def mark_maybe(rows: DataFrame, h: str, keys: DataFrame, key: str, flag: str) ->
 
     A bitmap of the keys' leading bits, of bounded size, goes to every task; nothing is shuffled.
     """
+    b_slice, b_bits, b_of, b_place = fresh(rows, "b_slice", "b_bits", "b_of", "b_place")
     bits = min(FILTER_BITS, max(15, (16 * max(1, keys.count())).bit_length()))
     slice_, place = _cell(F.col(key), bits)
-    bitmap = keys.select(slice_.alias("b_slice"), place.alias("place")).groupBy("b_slice").agg(F.expr("bitmap_construct_agg(place)").alias("b_bits"))
+    bitmap = keys.select(slice_.alias(b_slice), place.alias("place")).groupBy(b_slice).agg(F.expr("bitmap_construct_agg(place)").alias(b_bits))
     slice_, place = _cell(F.col(h), bits)
-    out = rows.withColumn("b_of", slice_).withColumn("b_place", place).join(F.broadcast(bitmap), F.col("b_of") == F.col("b_slice"), "left")
-    byte = F.expr("ascii(decode(substring(b_bits, b_place div 8 + 1, 1), 'ISO-8859-1'))")
-    return out.withColumn(flag, F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, b_place % 8)")), F.lit(0)) != 0).drop("b_of", "b_place", "b_slice", "b_bits")
+    out = rows.withColumn(b_of, slice_).withColumn(b_place, place).join(F.broadcast(bitmap), F.col(b_of) == F.col(b_slice), "left")
+    byte = F.expr(f"ascii(decode(substring({b_bits}, {b_place} div 8 + 1, 1), 'ISO-8859-1'))")
+    hit = F.coalesce(byte.bitwiseAND(F.expr(f"shiftleft(1, {b_place} % 8)")), F.lit(0)) != 0
+    return out.withColumn(flag, hit).drop(b_of, b_place, b_slice, b_bits)

@@ -69,17 +69,17 @@ def exact_dedup(docs: DataFrame, weak: Callable[[Column], Column] = F.xxhash64,
         chains = chained.dropDuplicates()
         rows = rows.join(chains, [F.col(c).eqNullSafe(F.col(f"c_{c}")) for c in ("doc_id", "h", "s")], "left").select("doc_id", "uid", "h", "s", "chain")
         again = rows.groupBy("h", "s", "chain").agg(F.max(F.struct("doc_id", "uid")).alias("stay"), F.count(F.lit(1)).alias("n"))
-        shared = again.where("n > 1")
-        on = [rows.h == shared.h, rows.s == shared.s, rows.chain.eqNullSafe(shared.chain)]
+        shared = again.where("n > 1").select(*[F.col(c).alias(f"k_{c}") for c in ("h", "s", "chain")], "stay", "n")
+        out = rows.join(shared, (F.col("h") == F.col("k_h")) & (F.col("s") == F.col("k_s")) & F.col("chain").eqNullSafe(F.col("k_chain")), "left")
     else:
-        on = [rows.h == shared.h, rows.s == shared.s]
-    out = rows.join(shared, on, "left")
+        shared = shared.select(F.col("h").alias("k_h"), F.col("s").alias("k_s"), "stay", "n")
+        out = rows.join(shared, (F.col("h") == F.col("k_h")) & (F.col("s") == F.col("k_s")), "left")
     return out.select(
-        rows.doc_id,
-        F.when(shared.n.isNull(), rows.doc_id).otherwise(shared.stay.doc_id).alias("keep_id"),
-        F.coalesce(shared.n, F.lit(1)).cast("long").alias("group_size"),
-        (shared.n.isNull() | (shared.stay.uid == rows.uid)).alias("kept"),
-        rows.s,
+        "doc_id",
+        F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("stay.doc_id")).alias("keep_id"),
+        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
+        (F.col("n").isNull() | (F.col("stay.uid") == F.col("uid"))).alias("kept"),
+        "s",
     )
 
 

@@ -119,11 +119,13 @@ class Model:
             table[:, OTHER] = -1
             first = np.where(table[0] >= 0, table[0], 0)
             walk = np.where(table >= 0, table, first)
-            broken = table < 0
-            broken[0] = False  # a phrase that has just begun
-            broken[:, OTHER] = True
-            packed = walk.astype(np.int32) * width * 2 + broken
-            packed[:, PAD] = np.arange(len(edges)) * width * 2
+            broken = (table < 0).astype(np.int32)
+            broken[0] = 0  # a phrase that has just begun
+            # an unknown character is a phrase, and ends the one before unless that has just begun
+            broken[:, OTHER] = 2
+            broken[0, OTHER] = 1
+            packed = walk.astype(np.int32) * width * 4 + broken
+            packed[:, PAD] = np.arange(len(edges)) * width * 4
             self.classes.append(classes)
             self.tables.append(packed.ravel())
             self.costs.append(math.log2(max(2, len(text))))
@@ -150,9 +152,8 @@ class Model:
                 if not m:
                     break
                 now = table[state[:m] + coded[begin[:m] + t]]
-                broken = now & 1
-                count[:m] += broken
-                state[:m] = (now - broken) >> 1
+                count[:m] += now & 3
+                state[:m] = now >> 2
             out[:, k] = np.bincount(owner, count + (size > 0), n)
         return out
 
@@ -166,7 +167,7 @@ class Model:
                 held += len(texts[end] or "")
                 end += 1
             symbols, starts = normalised([t or "" for t in texts[at:end]], self.lower)
-            some = np.add.reduceat(np.concatenate([symbols > 0, [False]]), starts[:-1], dtype=np.int64) if end > at else []
+            some = np.diff(np.concatenate([[0], np.cumsum(symbols > 0)])[starts])
             if self.languages:
                 cost = self.phrases(symbols, starts) * np.array(self.costs)
                 for k in np.flatnonzero(some).tolist():
