@@ -129,3 +129,38 @@ def test_persistent_circles(spark, tmp_path):
     hits = fr.circles(screenrec.read_frames(spark, str(tmp_path)), 14, 24, votes=20)
     best = votes.persistent(hits, "frame", "cx", "cy", "r", frames=10).collect()
     assert len(best) == 1 and abs(best[0].bx * 8 + 4 - 60) <= 6 and abs(best[0].r_median - 18) <= 2
+
+
+def test_artifacts_and_inspection(spark, folder, found, tmp_path):
+    from lumenreel.operators import inspect
+    from lumenreel.plans import refine
+    from lumenreel.sinks import artifacts, html_view
+
+    frames, parts = found
+    full = screenrec.read_frames(spark, folder)
+    png = artifacts.timeline(parts["motion"], parts["pauses"], parts["keyframes"]).where("video_id = 'v1'").first().png
+    assert image.read_png(bytes(png)).shape == (60, 41, 3)
+    one = artifacts.frame_images(full, parts["keyframes"].where("video_id = 'v1' AND pause_index = 0")).collect()
+    assert len(one) == 1 and (image.read_png(bytes(one[0].png)) == recording(1)[0][3]).all()
+    placed = stitch.placements(parts["motion"], parts["keyframes"], BAND, margin=70).cache()
+    canvas = stitch.stitch(frames, placed)
+    whole = artifacts.with_header_and_footer(canvas, full, HEADER, HEIGHT - FOOTER)
+    assert whole.where("video_id = 'v1'").count() == canvas.where("video_id = 'v1'").count() + HEADER + FOOTER
+    region = inspect.canvas_region(canvas.where("video_id = 'v1'"), -2, 10, 5, 15).first()
+    pixels = image.read_png(bytes(region.png))
+    assert (pixels[:2] == 0).all() and (pixels[2:] == page(seed=1)[100:110, 5:15]).all()
+    marks = fr.signatures(frames, 8, 0)
+    assert refine.chain_check(placed, marks, BAND, radius=10).where("off").count() == 0
+    away = placed.where("source = 'keyframe' AND pause_index = 1").select("video_id", "i", (F.col("abs_y") + 3).alias("abs_y"))
+    back = refine.refine_rescued(placed.where("NOT (source = 'keyframe' AND pause_index = 1)"), away, marks, BAND, radius=10)
+    assert {r.correction for r in back.collect()} == {-3}
+    bar = artifacts.coverage_bar(coverage.segments(placed.withColumn("e", F.col("abs_y") + BAND), "video_id", "abs_y", "e"))
+    assert bar.count() == 2
+    profile = inspect.edge_profile(inspect.pixels(frames.where("i = 0"), 0, 4, 0, 5), "row", "R").where("video_id = 'v1'").orderBy("y").collect()
+    assert [round(r["mean"], 3) for r in profile] == [round(float(x), 3) for x in page(seed=1)[100:105, 0:4, 0].mean(1)]
+    doc = json.loads(artifacts.report("video_id", placements=placed, pauses=parts["pauses"]).where("video_id = 'v2'").first().json)
+    assert {"placements", "pauses"} == set(doc)
+    assert "a&amp;b.png" in html_view.page(["a&b.png"])
+    lines = artifacts.recognised_lines(artifacts.frame_images(full, parts["keyframes"]), lambda data: ["first", "second"])
+    assert lines.count() == 2 * parts["keyframes"].count()
+    assert inspect.overlays_of(full.where("i < 2"), HEADER, HEIGHT - FOOTER).count() == 4
