@@ -47,10 +47,12 @@ def best_matches(left: DataFrame, right: DataFrame, enough: int = 101) -> DataFr
     out = ours.join(theirs, "text", "left_semi").select("text", F.lit(100).alias("best"), F.col("text").alias("best_text"))
     rest = ours.join(theirs, "text", "left_anti")
     blocks = -(-rest.count() // QUERIES)
+    # scoring is the work here, not reading: short lines are spread over all cores
+    scanned = theirs.repartition(max(2, theirs.sparkSession.sparkContext.defaultParallelism))
     for k in range(blocks):
         some = rest.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
         asked = theirs.sparkSession.sparkContext.broadcast(sorted(r.text for r in some.collect()))
-        found = theirs.mapInArrow(_scan(asked, enough), "text string, best int, other string")
+        found = scanned.mapInArrow(_scan(asked, enough), "text string, best int, other string")
         found = found.groupBy("text").agg(F.min(F.struct((-F.col("best")).alias("k"), F.length("other").alias("n"), "other")).alias("m"))
         found = found.select("text", (-F.col("m.k")).alias("best"), F.col("m.other").alias("best_text"))
         out = out.unionByName(some.join(found, "text", "left").select("text", F.coalesce("best", F.lit(0)).alias("best"), "best_text"))
