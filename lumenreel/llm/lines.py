@@ -60,23 +60,39 @@ def _order(doc_id: str, line_no: str) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Lines that take part: doc_id, th (hash of the text), line_no, words, n, h and g (two hashes of the words)."""
+    """All lines: doc_id, th (hash of the text), line_no, line (words with one space between), h and g (two hashes of it)."""
     doc = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
-    lines = doc.select("doc_id", "th", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    trimmed = F.expr("btrim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)))")
-    lines = lines.withColumn("words", F.split(trimmed, r"[\x20\x09-\x0D]+")).withColumn("n", F.size("words")).where(F.col("n") >= MIN_WORDS)
-    return lines.select("doc_id", "th", "line_no", "words", "n", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words", F.lit(2)).alias("g"))
+    lines = doc.select("doc_id", "th", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
+    # most lines hold single spaces only and need no regular expression
+    odd = " OR ".join(["startswith(raw, ' ')", "endswith(raw, ' ')", "contains(raw, '  ')", *[f"contains(raw, chr({c}))" for c in (9, 11, 12, 13)]])
+    spaced = r"IF({}, btrim(regexp_replace(raw, '[\\x20\\x09-\\x0D]+', ' '), ' '), raw)".format(odd)
+    lines = lines.select("doc_id", "th", "line_no", F.expr(spaced).alias("line"))
+    return lines.select("*", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line", F.lit(2)).alias("g"))
 
 
-def _three_quarters() -> Column:
-    """Array of (key, lo, hi) of a line (words, n): an edit that leaves the key's words is at a place from lo to below hi."""
-    parts = []
-    for less in (0, 1):  # a line one word longer or shorter has quarters of the same size at one of these
-        q = f"((n - 1 - {less}) div 4)"
-        for kind, (front, back) in enumerate(((3, 0), (2, 1), (1, 2), (0, 3))):
-            key = f"xxhash64({kind}, {q}, slice(words, 1, cast({front} * {q} AS int)), slice(words, cast(n - {back} * {q} + 1 AS int), cast({back} * {q} AS int)))"
-            parts.append(f"named_struct('key', {key}, 'lo', cast({front} * {q} AS int), 'hi', cast(n - {back} * {q} AS int), 'on', {q} >= 1 AND ({less} = 0 OR (n - 1) div 4 != (n - 2) div 4))")
-    return F.expr(f"transform(filter(array({', '.join(parts)}), x -> x.on), x -> named_struct('key', x.key, 'lo', x.lo, 'hi', x.hi))")
+def _counted(lines: DataFrame) -> DataFrame:
+    """Lines that take part, with their number of words n."""
+    return lines.withColumn("n", F.expr("octet_length(line) - octet_length(replace(line, ' ', '')) + 1")).where(F.col("n") >= MIN_WORDS)
+
+
+def _three_quarters(lines: DataFrame) -> DataFrame:
+    """Adds parts, an array of (key, lo, hi): an edit that leaves the key's words alone is at a place from lo to below hi.
+
+    Lines one word longer or shorter have quarters of the same size either for their own length or for one word less.
+    Leading and trailing words are stretches of the line itself, so keys need no array of words.
+    """
+
+    def parts(q: str) -> str:
+        out = []
+        for front in (3, 2, 1, 0):
+            back = 3 - front
+            used = [f"substring_index(line, ' ', {front} * {q})"] * (front > 0) + [f"substring_index(line, ' ', -{back} * {q})"] * (back > 0)
+            out.append(f"named_struct('key', xxhash64({front}, {q}, {', '.join(used)}), 'lo', {front} * {q}, 'hi', n - {back} * {q})")
+        return f"array({', '.join(out)})"
+
+    lines = lines.withColumn("q0", F.expr("cast((n - 1) div 4 AS int)")).withColumn("q1", F.expr("cast((n - 2) div 4 AS int)"))
+    both = f"IF(q1 >= 1 AND q1 != q0, concat({parts('q0')}, {parts('q1')}), {parts('q0')})"
+    return lines.withColumn("parts", F.expr(both)).drop("q0", "q1")
 
 
 def _near(lines: DataFrame, rows: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -87,8 +103,9 @@ def _near(lines: DataFrame, rows: DataFrame, firsts: DataFrame) -> DataFrame:
     going = durable(going.join(firsts, ["h", "g"]).select(F.col("h").alias("c_h"), F.col("g").alias("c_g"), "shared", "first"))
     found = mark_maybe(lines, "h", going, "c_h", "maybe").where("maybe").drop("maybe")
     found = found.join(going, F.expr("h = c_h AND g = c_g")).where(F.col("first") == _order("doc_id", "line_no"))
-    parts = F.filter(_three_quarters(), lambda x: F.array_contains("shared", x["key"]))
-    found = durable(found.select("h", "g", "n", "words", "first", parts.alias("parts")).dropDuplicates(["h", "g"]))
+    kept = F.filter("parts", lambda x: F.array_contains("shared", x["key"]))
+    found = _three_quarters(_counted(found)).select("h", "g", "n", F.split("line", " ").alias("words"), "first", kept.alias("parts"))
+    found = durable(found.dropDuplicates(["h", "g"]))
 
     words = found.select("h", "g", F.posexplode("words").alias("k", "word"))
     here = [F.shiftrightunsigned(F.xxhash64(F.lit(s), "word", "k"), 20) for s in (1, 2)]
@@ -133,7 +150,7 @@ def _within_one_edit(x: str, y: str) -> Column:
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """Per text that loses lines: d_doc_id, d_th (hash of the text), gone (its lines' numbers)."""
     lines = _lines(docs)
-    rows = durable(lines.select("doc_id", "th", "line_no", "h", "g", F.transform(_three_quarters(), lambda x: x["key"]).alias("keys")))
+    rows = durable(_three_quarters(_counted(lines)).select("doc_id", "th", "line_no", "h", "g", F.col("parts.key").alias("keys")))
     firsts = durable(rows.groupBy("h", "g").agg(F.min(_order("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("times")))
     near = durable(_near(lines, rows, firsts)).withColumn("near", F.lit(True))
     judged = firsts.join(near, ["h", "g"], "left").where("times > 1 OR near").select(F.col("h").alias("j_h"), F.col("g").alias("j_g"), "first", F.coalesce("near", F.lit(False)).alias("near"))
@@ -144,13 +161,16 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with such lines left out of ``text`` (and ``n_chars``, if there, as it then is)."""
-    gone, th, maybe = dropped_lines(docs), *fresh(docs, "line_th", "line_maybe")
-    marked = mark_maybe(docs.withColumn(th, F.xxhash64("text")), th, gone, "d_th", maybe)
-    loses = marked.where(F.col(maybe)).join(gone, (F.col(th) == F.col("d_th")) & F.col("doc_id").cast("long").eqNullSafe(F.col("d_doc_id")), "left")
-    kept = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> NOT array_contains(gone, i)), '\\n')")
-    loses = loses.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept))
+    lost = dropped_lines(docs.select("doc_id", "text"))
+    th, maybe, d_doc, d_th, gone = fresh(docs, "line_th", "line_maybe", "line_doc", "line_dth", "line_gone")
+    lost = lost.select(F.col("d_doc_id").alias(d_doc), F.col("d_th").alias(d_th), F.col("gone").alias(gone))
+    marked = docs.withColumn(th, F.xxhash64("text"))
+    marked = mark_maybe(marked, th, lost, d_th, maybe)
+    loses = marked.where(F.col(maybe)).join(lost, (F.col(th) == F.col(d_th)) & F.col("doc_id").cast("long").eqNullSafe(F.col(d_doc)), "left")
+    kept = F.expr(f"array_join(filter(split(text, '\\n', -1), (x, i) -> NOT array_contains({gone}, i)), '\\n')")
+    loses = loses.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept))
     if "n_chars" in docs.columns:
-        loses = loses.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
+        loses = loses.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
     return marked.where(~F.col(maybe)).select(*docs.columns).unionByName(loses.select(*docs.columns))
 
 
