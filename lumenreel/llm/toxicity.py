@@ -39,7 +39,9 @@ from pyspark.sql import functions as F
 
 from lumenreel.llm.common import crc_mod
 
-SAMPLE, MEMO = 3_000, 300_000
+SAMPLE, MEMO = 3_000, 200_000
+#: Texts whose words are held at once.
+STEP = 128
 #: Letters of a term and a word from which two edits are one misspelling.
 LONG = 9
 STEM_LENGTHS = (4, 5, 6)
@@ -185,14 +187,15 @@ class Lexicon:
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         """A row for each text, see PRIOR."""
-        words = [set(WORDS.findall(t)) if t else () for t in texts]
         out = np.zeros((len(texts), len(PRIOR)))
-        for lo in range(0, len(texts), 256):
-            self.learn_words(set().union(*words[lo : lo + 256]))
+        for lo in range(0, len(texts), STEP):
+            some = texts[lo : lo + STEP]
+            words = [set(WORDS.findall(t)) if t else set() for t in some]
+            self.learn_words(set().union(*words))
             memo = self.memo
-            for k in range(lo, min(len(texts), lo + 256)):
-                kinds = {w for w in words[k] if memo[w]}
-                out[k] = self._row(self.hits(texts[k], kinds) if kinds else [])
+            for k, (text, mine) in enumerate(zip(some, words, strict=True)):
+                kinds = {w for w in mine if memo[w]}
+                out[lo + k] = self._row(self.hits(text, kinds) if kinds else [])
         return out
 
     @staticmethod
