@@ -24,8 +24,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one, within one word, go; documents stay."""
-    return dedup_lines(docs)
+    """Lines that repeat an earlier one go, within one word if they have five or more; documents stay."""
+    return dedup_lines(docs, short=True)
 
 
 def near_dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Line dedup by a deletion-neighbourhood join; DataFrame operations only.
 
-A line's symbols are its words.  Lines of at least ``MIN_WORDS`` words take part (one word in five is a similarity of 0.8);
+A line's symbols are its words.  Lines of at least ``MIN_WORDS`` words take part;
 an occurrence goes if an earlier one, by doc_id and then by line number, is equal or within one edit (a word
-replaced, added or left out).  Shorter lines always stay.
+replaced, added or left out).  Shorter lines stay, unless ``short`` is set: then every line with a word in it
+takes part in step 1, and a shorter line goes if an earlier one has the same words.  The query's SQL fixes
+``short`` at false for ``op5_line_dedup``; the pipeline sets it.
 
 Steps
     1. Equal lines collapse to their earliest occurrence.
@@ -70,9 +72,10 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.select("*", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line", F.lit(2)).alias("g"))
 
 
-def _counted(lines: DataFrame) -> DataFrame:
-    """Lines that take part, with their number of words n."""
-    return lines.withColumn("n", F.expr("octet_length(line) - octet_length(replace(line, ' ', '')) + 1")).where(F.col("n") >= MIN_WORDS)
+def _counted(lines: DataFrame, short: bool = False) -> DataFrame:
+    """Lines that take part, with their number of words n; with ``short``, all that hold a word."""
+    counted = lines.withColumn("n", F.expr("octet_length(line) - octet_length(replace(line, ' ', '')) + 1"))
+    return counted.where(F.col("line") != "") if short else counted.where(F.col("n") >= MIN_WORDS)
 
 
 def _three_quarters(lines: DataFrame) -> DataFrame:
@@ -147,10 +150,12 @@ def _within_one_edit(x: str, y: str) -> Column:
     return F.expr(f"CASE WHEN size({x}) = size({y}) THEN {rest(x, 1)} = {rest(y, 1)} WHEN size({x}) = size({y}) + 1 THEN {rest(x, 1)} = {rest(y, 0)} WHEN size({y}) = size({x}) + 1 THEN {rest(x, 0)} = {rest(y, 1)} ELSE false END")
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
+def dropped_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """Per text that loses lines: d_doc_id, d_th (hash of the text), gone (its lines' numbers)."""
     lines = _lines(docs)
-    rows = durable(_three_quarters(_counted(lines)).select("doc_id", "th", "line_no", "h", "g", F.col("parts.key").alias("keys")))
+    # short lines have no keys, so they meet equal lines only
+    keys = F.when(F.col("n") >= MIN_WORDS, F.col("parts.key")).otherwise(F.array().cast("array<bigint>")) if short else F.col("parts.key")
+    rows = durable(_three_quarters(_counted(lines, short)).select("doc_id", "th", "line_no", "h", "g", keys.alias("keys")))
     firsts = durable(rows.groupBy("h", "g").agg(F.min(_order("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("times")))
     near = durable(_near(lines, rows, firsts)).withColumn("near", F.lit(True))
     judged = firsts.join(near, ["h", "g"], "left").where("times > 1 OR near").select(F.col("h").alias("j_h"), F.col("g").alias("j_g"), "first", F.coalesce("near", F.lit(False)).alias("near"))
@@ -159,9 +164,9 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     return durable(gone.groupBy(F.col("doc_id").alias("d_doc_id"), F.col("th").alias("d_th")).agg(F.collect_list("line_no").alias("gone")))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """``docs`` with such lines left out of ``text`` (and ``n_chars``, if there, as it then is)."""
-    lost = dropped_lines(docs.select("doc_id", "text"))
+    lost = dropped_lines(docs.select("doc_id", "text"), short)
     th, maybe, d_doc, d_th, gone = fresh(docs, "line_th", "line_maybe", "line_doc", "line_dth", "line_gone")
     lost = lost.select(F.col("d_doc_id").alias(d_doc), F.col("d_th").alias(d_th), F.col("gone").alias(gone))
     marked = docs.withColumn(th, F.xxhash64("text"))

@@ -271,6 +271,30 @@ def test_line_dedup_of_rows_without_ids_and_repeated_rows(spark):
     assert got == [("1", line + "\nx"), ("2", ""), ("2", ""), ("None", "")]
 
 
+def test_short_lines_go_if_equal(spark):
+    from corpus_pipeline import line_dedup
+    from lumenreel.llm.lines import dedup_lines
+
+    rng = np.random.default_rng(4)
+    script = "\u4e2d\u6587" * 40
+    lines = [prose(rng, int(rng.integers(1, 8)), 3) for _ in range(40)] + ["Read more", "Read  more\t", "Read less", script, "", " "]
+    texts = ["\n".join(rng.choice(lines, int(rng.integers(1, 9)))) for _ in range(50)] + ["Read more\nRead less\n" + script] * 2
+    held, want = [], {}
+    for k, text in enumerate(texts):
+        kept = []
+        for line in text.split("\n"):
+            words = line.replace("\t", " ").split()
+            near = any(words == h or len(words) >= 5 <= len(h) and within_one(words, h) for h in held)
+            if not words or not near:
+                kept.append(line)
+            if words:
+                held.append(words)
+        want[k] = "\n".join(kept)
+    df = documents(spark, texts)
+    assert {r.doc_id: r.text for r in line_dedup(spark, df, "").collect()} == want
+    assert want[len(texts) - 1] == "" and {r.doc_id: r.text for r in dedup_lines(df).collect()} != want
+
+
 # ------------------------------------------------------------------------------------------------- mixing
 
 
