@@ -339,6 +339,15 @@ def nearest_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.nearest_anchor(frames.where("i % 5 = 3"), frames.where("i % 5 = 0").withColumn("bias", bias), "user_id", "cum")
 
 
+@query()
+def nearest_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frame that isn't placed itself, and the placed one nearest to it: a keyframe, or a bridge with a bias of 1."""
+    frames = _positions(spark, sf_dir).select("user_id", "i", "cum")
+    placed = keyframes(spark, sf_dir).select("user_id", "i", F.lit(0).alias("bias")).unionByName(bridge_points(spark, sf_dir).select("user_id", "i", F.lit(1).alias("bias")))
+    placed = placed.groupBy("user_id", "i").agg(F.min("bias").alias("bias"))
+    return matching.nearest_anchor(frames.join(placed, ["user_id", "i"], "left_anti"), frames.join(placed, ["user_id", "i"]), "user_id", "cum")
+
+
 @query(f"""WITH {MOTION}, w AS (SELECT *, row_number() OVER (ORDER BY abs(dv) DESC, user_id, i) AS r FROM m WHERE abs(dv) > 60 AND NOT {REST}) SELECT user_id, i, round(abs(dv), 6) AS mad FROM w WHERE r <= 10""")
 def worst_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = _motion(spark, sf_dir).where(F.col("mad") > 60)

@@ -38,3 +38,16 @@ def test_query_gives_what_the_sql_gives(spark, duck, name):
     found = duck.sql(sql)
     assert sorted(found.columns) == columns
     assert rows == sorted(([plain(r[found.columns.index(c)]) for c in columns] for r in found.fetchall()), key=repr)
+
+
+def test_every_frame_has_its_nearest_placement(spark):
+    q = catalog.queries()
+    place = {(r.user_id, r.i): r.cum for r in q["positions"](spark, SF).collect()}
+    bias = {(r.user_id, r.i): 1 for r in q["bridge_points"](spark, SF).collect()} | {(r.user_id, r.i): 0 for r in q["keyframes"](spark, SF).collect()}
+    want = {}
+    for user, i in place.keys() - bias.keys():
+        options = [(abs(place[user, i] - place[user, k]) + b, k) for (u, k), b in bias.items() if u == user]
+        if options:
+            want[user, i] = min(options)
+    got = q["nearest_placement"](spark, SF).collect()
+    assert len(got) == len(want) > 0.5 * len(place) and {(r.user_id, r.i): (r.far, r.anchor) for r in got} == want
