@@ -412,6 +412,12 @@ def reconcile_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.report(_doc_lines(spark, sf_dir), _item_lines(spark, sf_dir), exact=True)
 
 
+@query()
+def reconcile_fuzzy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report as the operator has it by default: a line counts as missing or unmatched if its best score is below 85."""
+    return reconcile.report(_doc_lines(spark, sf_dir), _item_lines(spark, sf_dir))
+
+
 def _tokens_sql(name: str, table: str) -> str:
     return f"{name} AS (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z][a-z'']+')) AS token FROM {table}) WHERE length(token) >= 4 GROUP BY token)"
 

@@ -35,31 +35,75 @@ def missing_exact(left: DataFrame, right: DataFrame) -> DataFrame:
 QUERIES = 5_000
 
 
-def best_matches(left: DataFrame, right: DataFrame, enough: int = 101) -> DataFrame:
+def best_matches(left: DataFrame, right: DataFrame, enough: int = 101, least: int = 0) -> DataFrame:
     """Each distinct text of ``left`` with the best token-set score among ``right``'s texts: text, best, best_text (null: none).
 
     Equal texts match by an equi-join.  The rest is a set of queries against all rows: at most ``QUERIES`` of them at a time go
     to every task, which scans its part of the other side and keeps one best row per query; a pair is scored in full only if
     the bound that follows from word lengths beats the best so far.  ``enough``: a query that has reached so much looks no
     further, its best is then at least that.  Of equal scores the shorter text wins, then the first in order.
+    If the other side is the smaller one, its texts go to every task instead, and each query meets them where it is.
+    ``least``: pairs that can't reach so much are not scored; a best below it may then be too low.
     """
     ours, theirs = left.select("text").distinct(), right.select("text").distinct()
     out = ours.join(theirs, "text", "left_semi").select("text", F.lit(100).alias("best"), F.col("text").alias("best_text"))
     rest = ours.join(theirs, "text", "left_anti")
-    blocks = -(-rest.count() // QUERIES)
     # scoring is the work here, not reading: short lines are spread over all cores
-    scanned = theirs.repartition(max(2, theirs.sparkSession.sparkContext.defaultParallelism))
+    cores = max(2, theirs.sparkSession.sparkContext.defaultParallelism)
+    asking, offered = rest.count(), theirs.count()
+    if asking > offered:
+        return out.unionByName(_best_of_few(rest, theirs, -(-offered // QUERIES), cores, enough, least))
+    blocks = -(-asking // QUERIES)
+    scanned = theirs.repartition(cores)
     for k in range(blocks):
         some = rest.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
         asked = theirs.sparkSession.sparkContext.broadcast(sorted(r.text for r in some.collect()))
-        found = scanned.mapInArrow(_scan(asked, enough), "text string, best int, other string")
+        found = scanned.mapInArrow(_scan(asked, enough, least), "text string, best int, other string")
         found = found.groupBy("text").agg(F.min(F.struct((-F.col("best")).alias("k"), F.length("other").alias("n"), "other")).alias("m"))
         found = found.select("text", (-F.col("m.k")).alias("best"), F.col("m.other").alias("best_text"))
         out = out.unionByName(some.join(found, "text", "left").select("text", F.coalesce("best", F.lit(0)).alias("best"), "best_text"))
     return out
 
 
-def _scan(asked, enough: int):
+def _best_of_few(rest: DataFrame, theirs: DataFrame, blocks: int, cores: int, enough: int, least: int) -> DataFrame:
+    """Best matches of ``rest`` among a side that is the smaller one: a row per query and block of that side."""
+    rows, found = rest.repartition(cores), None
+    for k in range(blocks):
+        some = theirs.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
+        offered = theirs.sparkSession.sparkContext.broadcast(sorted((r.text for r in some.collect()), key=lambda t: (len(t), t)))
+        best = rows.mapInArrow(_choose(offered, enough, least), "text string, best int, other string")
+        found = best if found is None else found.unionByName(best)
+    if found is None:
+        return rest.select("text", F.lit(0).alias("best"), F.lit(None).cast("string").alias("best_text"))
+    if blocks > 1:
+        found = found.groupBy("text").agg(F.min(F.struct((-F.col("best")).alias("k"), F.length("other").alias("n"), "other")).alias("m"))
+        found = found.select("text", (-F.col("m.k")).alias("best"), F.col("m.other").alias("other"))
+    return found.select("text", F.coalesce("best", F.lit(0)).alias("best"), F.col("other").alias("best_text"))
+
+
+def _choose(offered, enough: int, least: int):
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = offered.value  # in the order that decides between equal scores
+        words = [frozenset(t.split()) for t in texts]
+        for batch in batches:
+            asked = batch.column(0).to_pylist()
+            scores: list[int | None] = []
+            others: list[str | None] = []
+            for text in asked:
+                mine, best, at = frozenset(text.split()), least - 1, None
+                for k, theirs in enumerate(words):
+                    if best >= enough:
+                        break
+                    if score_bound(mine, theirs) > best and (score := token_set_score(text, texts[k])) > best:
+                        best, at = score, texts[k]
+                scores.append(None if at is None else best)
+                others.append(at)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.int32()), pa.array(others, pa.string())], ["text", "best", "other"])
+
+    return choose
+
+
+def _scan(asked, enough: int, least: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = asked.value
         words = [frozenset(t.split()) for t in texts]
@@ -69,7 +113,7 @@ def _scan(asked, enough: int):
                 theirs = frozenset(other.split())
                 for k, mine in enumerate(words):
                     now = best[k]
-                    if now is not None and now[0] <= -enough or now is not None and score_bound(mine, theirs) < -now[0]:
+                    if now is not None and now[0] <= -enough or score_bound(mine, theirs) < (least if now is None else max(least, -now[0])):
                         continue
                     row = (-token_set_score(texts[k], other), len(other), other)
                     if now is None or row < now:
@@ -112,7 +156,8 @@ def share(part: Column, whole: Column) -> Column:
 
 def report(left: DataFrame, right: DataFrame, exact: bool = False, limit: int = 85) -> DataFrame:
     """One row: distinct lines of either side, those without a match, recall and precision in per cent."""
-    miss = (lambda a, b: missing_exact(a, b)) if exact else (lambda a, b: missing_fuzzy(a, b, limit))
+    # only the number of lines below the limit counts, not their scores
+    miss = (lambda a, b: missing_exact(a, b)) if exact else (lambda a, b: best_matches(a, b, limit, limit).where(F.col("best") < limit))
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     parts = [count(left.select("text").distinct(), "n_source"), count(right.select("text").distinct(), "n_stitched"), count(miss(left, right), "missing"), count(miss(right, left), "unmatched")]
     out = parts[0]

@@ -51,3 +51,19 @@ def test_every_frame_has_its_nearest_placement(spark):
             want[user, i] = min(options)
     got = q["nearest_placement"](spark, SF).collect()
     assert len(got) == len(want) > 0.5 * len(place) and {(r.user_id, r.i): (r.far, r.anchor) for r in got} == want
+
+
+def test_fuzzy_report_counts_both_directions(spark, duck):
+    from lumenreel.functions.text import token_set_score
+
+    lines = []
+    for table in ("documents", "benchmark"):
+        texts = {" ".join(line.split()) for (text,) in duck.sql(f"SELECT text FROM {table} WHERE text IS NOT NULL").fetchall() for line in text.split("\n")}
+        lines.append(sorted(t for t in texts if len(t) >= 3))
+    source, stitched = lines
+    hits = [(a, b) for a in source for b in stitched if token_set_score(a, b) >= 85]
+    got = catalog.queries()["reconcile_fuzzy_report"](spark, SF).first()
+    assert (got.n_source, got.n_stitched) == (len(source), len(stitched))
+    assert (got.missing, got.unmatched) == (len(source) - len({a for a, _ in hits}), len(stitched) - len({b for _, b in hits}))
+    exact = catalog.queries()["reconcile_report"](spark, SF).first()
+    assert got.missing < exact.missing and got.unmatched < exact.unmatched

@@ -97,3 +97,17 @@ def test_fuzzy_reconciliation(spark):
     assert (row.n_source, row.n_stitched, row.missing, row.unmatched) == (3, 3, 1, 1) and row.recall == pytest.approx(66.67)
     assert reconcile.duplicates(a, 8).collect()[0].n == 2
     assert reconcile.first_lines(a).where(F.col("text") == "one two three").first().container == 1
+
+
+def test_best_matches_are_the_same_whichever_side_is_smaller(spark, monkeypatch):
+    from lumenreel.functions.text import token_set_score
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps", "zeta", "alphb"], int(rng.integers(1, 5)))) for _ in range(70)]
+    few, many = sorted(set(texts[:12])), sorted(set(texts[12:]))
+    lines = lambda some: frame(spark, [(1, k, t) for k, t in enumerate(some)], "container long, line_no long, text string")
+    monkeypatch.setattr(reconcile, "QUERIES", 5)
+    for a, b in ((many, few), (few, many)):
+        best = {t: min((-token_set_score(t, o) if t != o else -101, len(o), o) for o in b) for t in a}
+        got = {r.text: (r.best, r.best_text) for r in reconcile.best_matches(lines(a), lines(b)).collect()}
+        assert got == {t: (min(100, -m[0]), m[2]) for t, m in best.items()}
