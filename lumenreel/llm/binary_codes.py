@@ -6,10 +6,11 @@ turned vector, divided by the factor, is an unbiased estimate of the cosine, wit
 the factor alone.  Only pairs whose upper bound reaches the threshold are recomputed, exactly, in double precision; only
 these exact values decide.
 
-Which pairs are looked at: vectors meet in tables, each keyed by some sign bits of further rotations.  Bits per table grow with
-the logarithm of the number of vectors, so a bucket holds about as many vectors at any size; the number of tables
-is what makes a pair at the threshold meet with probability ``RECALL``.  A pair counts in the first table where it
-meets, so nothing has to be brought together to count it once.
+Which pairs are looked at: vectors meet in tables, each keyed by the sides of random planes of its own on which they lie.  Bits
+per table grow with the logarithm of the number of vectors, so a bucket holds about as many vectors at any size; the number of
+tables is what makes a pair at the threshold meet with probability ``RECALL`` (planes are independent, so it does at any
+size; a pair that meets in no table is lost).  A pair counts in the first table where it meets, so nothing has to be
+brought together to count it once.
 
 Equal vectors collapse before anything is compared.  A bucket of more than ``BLOCK`` vectors is compared block by block in
 separate tasks.  Tasks return a row per vector, not per pair.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from lumenreel.llm.common import durable
 from lumenreel.llm.components import components
 
-THRESHOLD, RECALL, SEED = 0.95, 0.99, 11
+THRESHOLD, RECALL, SEED = 0.95, 0.9999, 11
 BLOCK = 512
 #: Standard errors of an estimate that count as its bound.
 SURE = 4.0
@@ -43,7 +44,7 @@ SMALL = 65_536
 
 def shape_of_tables(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
     """Bits of a key and number of tables for ``n`` vectors."""
-    bits = min(48, max(4, round(math.log2(max(2, n))) - 4))
+    bits = min(48, max(4, round(math.log2(max(2, n))) - 7))
     meet = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
@@ -78,13 +79,10 @@ def unit_vectors(column: pa.Array) -> list[np.ndarray | None]:
 def table_keys(units: np.ndarray, bits: int, tables: int) -> np.ndarray:
     """A key for each vector (row) and table (column)."""
     dim = units.shape[1]
-    # a key's bits come from one rotation while it has enough coordinates
-    per = max(1, dim // bits)
-    turns = rotations(dim, 1 + -(-tables // per) * max(1, -(-bits // dim)))[1:]
-    signs = np.concatenate([units @ t.T > 0 for t in turns], 1)
-    use = [np.arange(k * bits, k * bits + bits) if bits > dim else (k // per) * dim + (k % per) * bits + np.arange(bits) for k in range(tables)]
     weights = 1 << np.arange(bits, dtype=np.int64)
-    return np.stack([signs[:, u % signs.shape[1]] @ weights for u in use], 1)
+    # number 0 is the rotation of the codes
+    planes = (np.random.default_rng([SEED, dim, k]).standard_normal((dim, bits)) for k in range(1, tables + 1))
+    return np.stack([(units @ p > 0) @ weights for p in planes], 1)
 
 
 def find_links(units: np.ndarray, keys: np.ndarray, table: int, left: np.ndarray, right: np.ndarray, turn: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:

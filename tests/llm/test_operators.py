@@ -455,6 +455,20 @@ def test_embedding_links(spark):
     assert linked_vectors(df.limit(0)).count() == 0
 
 
+def test_pairs_at_the_threshold_meet_at_any_size():
+    from lumenreel.llm.binary_codes import shape_of_tables, table_keys
+
+    rng = np.random.default_rng(12)
+    x, y = rng.standard_normal((2, 4000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y -= np.einsum("ij,ij->i", x, y)[:, None] * x
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * y / np.linalg.norm(y, axis=1)[:, None]
+    for n in (5_000, 1_000_000, 50_000_000):
+        shape = shape_of_tables(n)
+        met = (table_keys(x, *shape) == table_keys(y, *shape)).any(1)
+        assert met.mean() > 0.999, (n, shape)
+
+
 def test_estimates_are_unbiased_and_within_their_bounds():
     from lumenreel.llm.binary_codes import SURE, rotations
 
