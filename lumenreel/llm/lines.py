@@ -2,7 +2,7 @@
 
 A line's symbols are its words.  Lines of at least ``MIN_WORDS`` words take part;
 an occurrence goes if an earlier one, by doc_id and then by line number, is equal or within one edit (a word
-replaced, added or left out).  Shorter lines stay, unless ``short`` is set: then every line with a word in it
+replaced, added or left out), whatever its length.  Shorter lines stay, unless ``short`` is set: then every line with a word in it
 takes part in step 1, and a shorter line goes if an earlier one has the same words.  The query's SQL fixes
 ``short`` at false for ``op5_line_dedup``; the pipeline sets it.
 
