@@ -96,3 +96,24 @@ def sequence_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
     """:func:`sequence_score` of two columns, in Arrow batches."""
     for a, b in pairs:
         yield pd.Series([sequence_score(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
+
+
+def parse_colour(text: str) -> tuple[int, int, int]:
+    """The three numbers from 0 to 255 of 'R,G,B'."""
+    out = _three_numbers(text, "R,G,B")
+    if not all(0 <= v <= 255 for v in out):
+        raise ValueError(f"expected 'R,G,B' from 0 to 255, got {text!r}")
+    return out
+
+
+def parse_circle(text: str) -> tuple[int, int, int]:
+    """The three numbers of 'cx,cy,r'."""
+    return _three_numbers(text, "cx,cy,r")
+
+
+def _three_numbers(text: str, form: str) -> tuple[int, int, int]:
+    try:
+        a, b, c = (int(v) for v in text.split(","))
+    except ValueError:
+        raise ValueError(f"expected {form!r}, got {text!r}") from None
+    return a, b, c

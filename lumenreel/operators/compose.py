@@ -23,8 +23,15 @@ CANVAS = "video_id string, canvas_y long, w int, rgba binary, clean_min int, sam
 
 
 def scanlines(frames: DataFrame, placements: DataFrame, masks: DataFrame | None = None) -> DataFrame:
-    """video_id, bucket, canvas_y, i, w, px (RGB bytes), dirty (packed bits of masked pixels, null: none)."""
+    """video_id, bucket, canvas_y, i, w, px (RGB bytes), dirty (packed bits of masked pixels, null: none).
+
+    A placement whose frame isn't there is an error, since it would leave a hole.
+    """
     _limit_batches(frames)
+    missing = placements.select("video_id", "i").distinct().join(frames.select("video_id", "i"), ["video_id", "i"], "left_anti")
+    first = [(r.video_id, r.i) for r in missing.orderBy("video_id", "i").limit(10).collect()]
+    if first:
+        raise RuntimeError(f"missing pixels of {missing.count()} placed frames: {first}")
     placed = frames.join(placements.select("video_id", "i", "abs_y"), ["video_id", "i"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -164,3 +164,11 @@ def test_artifacts_and_inspection(spark, folder, found, tmp_path):
     lines = artifacts.recognised_lines(artifacts.frame_images(full, parts["keyframes"]), lambda data: ["first", "second"])
     assert lines.count() == 2 * parts["keyframes"].count()
     assert inspect.overlays_of(full.where("i < 2"), HEADER, HEIGHT - FOOTER).count() == 4
+
+
+def test_a_placed_frame_that_was_not_read_is_an_error(spark):
+    frames = spark.createDataFrame([("v", 0, 1, 1, "gray", b"x")], "video_id string, i long, h int, w int, pix_fmt string, data binary")
+    placed = spark.createDataFrame([("v", i, 0) for i in (0, 7, 9)], "video_id string, i long, abs_y long")
+    with pytest.raises(RuntimeError, match=r"2 placed frames: \[\('v', 7\), \('v', 9\)\]"):
+        compose.scanlines(frames, placed)
+    compose.scanlines(frames, placed.where("i = 0"))

@@ -126,3 +126,12 @@ def _lcs(x, y):
 @settings(max_examples=200, deadline=None)
 def test_common_subsequence(x, y):
     assert text._common(x, y) == _lcs(x, y)
+
+
+def test_parsed_options():
+    from lumenreel.functions.text import parse_circle, parse_colour
+
+    assert parse_colour("0, 128,255") == (0, 128, 255) and parse_circle("-5,640,32") == (-5, 640, 32)
+    for parse, wrong in ((parse_colour, "1,2"), (parse_colour, "1,2,256"), (parse_colour, "auto"), (parse_circle, "1,2,3,4"), (parse_circle, "a,2,3")):
+        with pytest.raises(ValueError, match="expected"):
+            parse(wrong)
