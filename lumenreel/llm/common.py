@@ -34,7 +34,7 @@ def durable(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again: cuts lineage, survives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lumenreel-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", "false").parquet(path)  # most columns are hashes or unique
     out = spark.read.schema(df.schema).parquet(path)
     out._durable_path = path
     return out
@@ -70,22 +70,20 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 SLICE, FILTER_BITS = 32_768, 26
 
 
-def _cell(h: Column, bits: int) -> tuple[Column, Column]:
-    cell = F.shiftrightunsigned(h, 64 - bits)
-    return F.floor(cell / SLICE).cast("long"), F.pmod(cell, F.lit(SLICE)).cast("int")
-
-
 def mark_maybe(rows: DataFrame, h: str, keys: DataFrame, key: str, flag: str) -> DataFrame:
     """Adds ``flag``: false if ``rows.h`` (a 64-bit hash) is in no row of ``keys.key``, else true or, rarely, false alarm.
 
-    A bitmap of the keys' leading bits, of bounded size, goes to every task; nothing is shuffled.
+    A bitmap of the keys' leading bits, of bounded size, goes to every task; nothing is shuffled.  It goes as arrays
+    of longs, of which a task reads one in place, where binary values would be copied for every row.
     """
-    b_slice, b_bits, b_of, b_place = fresh(rows, "b_slice", "b_bits", "b_of", "b_place")
+    b_slice, b_words, b_cell = fresh(rows, "b_slice", "b_words", "b_cell")
     bits = min(FILTER_BITS, max(15, (16 * max(1, keys.count())).bit_length()))
-    slice_, place = _cell(F.col(key), bits)
-    bitmap = keys.select(slice_.alias(b_slice), place.alias("place")).groupBy(b_slice).agg(F.expr("bitmap_construct_agg(place)").alias(b_bits))
-    slice_, place = _cell(F.col(h), bits)
-    out = rows.withColumn(b_of, slice_).withColumn(b_place, place).join(F.broadcast(bitmap), F.col(b_of) == F.col(b_slice), "left")
-    byte = F.expr(f"ascii(decode(substring({b_bits}, {b_place} div 8 + 1, 1), 'ISO-8859-1'))")
-    hit = F.coalesce(byte.bitwiseAND(F.expr(f"shiftleft(1, {b_place} % 8)")), F.lit(0)) != 0
-    return out.withColumn(flag, hit).drop(b_of, b_place, b_slice, b_bits)
+    cells = keys.select(F.shiftrightunsigned(key, 64 - bits).alias("cell")).select(F.expr(f"cell div {SLICE}").alias(b_slice), F.expr(f"cast(cell % {SLICE} AS int)").alias("place"))
+    bitmap = cells.groupBy(b_slice).agg(F.expr("bitmap_construct_agg(place)").alias("bits"))
+    words = F.expr(f"transform(sequence(0, {SLICE // 64 - 1}), w -> cast(conv(hex(substring(bits, 8 * w + 1, 8)), 16, -10) AS bigint))")
+    bitmap = bitmap.select(b_slice, words.alias(b_words))
+    out = rows.withColumn(b_cell, F.shiftrightunsigned(h, 64 - bits))
+    out = out.join(F.broadcast(bitmap), F.expr(f"{b_cell} div {SLICE} = {b_slice}"), "left")
+    # bytes of a word are in reading order, the bits of a byte from the lowest
+    hit = F.expr(f"coalesce(shiftrightunsigned({b_words}[cast({b_cell} % {SLICE} div 64 AS int)], cast(56 - {b_cell} % 64 div 8 * 8 + {b_cell} % 8 AS int)) & 1, 0) = 1")
+    return out.withColumn(flag, hit).drop(b_cell, b_slice, b_words)

@@ -1,46 +1,55 @@
 """Line dedup by a deletion-neighbourhood join; DataFrame operations only.
 
-A line's symbols are its words.  Lines of at least ``MIN_WORDS`` words take part;
-an occurrence goes if an earlier one, by doc_id and then by line number, is equal or within one edit (a word
-replaced, added or left out), whatever its length.  Shorter lines stay, unless ``short`` is set: then every line with a word in it
-takes part in step 1, and a shorter line goes if an earlier one has the same words.  The query's SQL fixes
-``short`` at false for ``op5_line_dedup``; the pipeline sets it.
+A line's symbols are its words.  Every line that holds a word takes part: an occurrence goes if an earlier one, by doc_id
+and then by line number, has the same words, or, where both have at least ``MIN_WORDS`` words, is within one edit (a word
+replaced, added or left out), whatever its length.  Of fewer words one edit would be a quarter of the line or more, so those
+meet equal lines only.
 
 Steps
     1. Equal lines collapse to their earliest occurrence.
-    2. Four quarters of a line leave three untouched by one edit, aligned from the front or the back.  Each line emits a
-       key for each such three quarters; only lines that share a key with another line go on.
+    2. Four quarters of a line leave three untouched by one edit, aligned from the front or the back.  Each distinct line
+       has a key for each such three quarters; only lines that share a key with another line go on.
     3. These emit their deletion neighbourhood as hashed keys: for each place where the shared key allows the edit, the
-       line without that word, and the line itself.  A hash is a sum over words of a hash of word and place, so that all
-       of a line's variants come from running sums, in time linear in its length.
+       line without that word, and the line itself.  A hash is the exclusive or of a hash of each word and its place, so
+       that all variants come from running values, made in blocks of the root of their number.
     4. Equal variants meet: a replaced word where both lines lack the same place, an added one where a line equals a
        variant.  Of a meeting only the earliest line matters, so it is an aggregation that emits no pairs.
     5. The edit distance to that earliest line is verified on the words themselves.
 
+Equal lines are told by 128 bits; a collision of the 64 bits of a variant could hide a link, never make one.
+
 Results for odd input
-    null text: no lines, stays null.  Empty text and empty lines stay.  null doc_id: after every number.  Rows that share
+    null text: no lines, stays null.  Empty text and blank lines stay.  null doc_id: after every number.  Rows that share
     a doc_id are one document as to the order; rows equal in doc_id and text get the same result.  A very long line:
-    linear work.  Empty table: no rows.  Other columns: ignored by :func:`line_digests`, kept by :func:`dedup_lines`.
+    work grows as the power 1.5 of its words at most.  A document of many lines: linear work.  Empty table: no rows.
+    Other columns: ignored by :func:`line_digests`, kept by :func:`dedup_lines`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenreel.llm.common import durable, fresh, mark_maybe
+from lumenreel.llm.common import discard, durable, fresh, mark_maybe
 
+#: Words that a line needs to be compared within an edit.
 MIN_WORDS = 5
-LAST = 9_223_372_036_854_775_807
+#: Parts of a line, of which one edit leaves all but one untouched, and keys of a line.
+PARTS = 3
+SLOTS = 2 * PARTS
+#: Words of a part up to which a line's variants are hashed in one block.
+WHOLE = 64
 
 ORACLE = f"""
 WITH raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
      l AS (SELECT doc_id, line_no, line, [x FOR x IN regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+') IF x <> ''] AS w FROM raw),
-     e AS (SELECT *, len(w) AS n, row_number() OVER (ORDER BY doc_id NULLS LAST, line_no) AS r FROM l WHERE len(w) >= {MIN_WORDS}),
+     e AS (SELECT *, len(w) AS n, row_number() OVER (ORDER BY doc_id NULLS LAST, line_no) AS r FROM l WHERE len(w) > 0),
      u AS (SELECT w, any_value(n) AS n, min(r) AS r FROM e GROUP BY w),
-     c AS (SELECT DISTINCT a.r AS ar, b.r AS br FROM u a JOIN u b ON a.w[1:2] = b.w[1:2] AND b.r < a.r AND abs(a.n - b.n) <= 1
-           UNION SELECT DISTINCT a.r, b.r FROM u a JOIN u b ON a.w[-2:] = b.w[-2:] AND b.r < a.r AND abs(a.n - b.n) <= 1),
+     f AS (SELECT * FROM u WHERE n >= {MIN_WORDS}),
+     c AS (SELECT DISTINCT a.r AS ar, b.r AS br FROM f a JOIN f b ON a.w[1:2] = b.w[1:2] AND b.r < a.r AND abs(a.n - b.n) <= 1
+           UNION SELECT DISTINCT a.r, b.r FROM f a JOIN f b ON a.w[-2:] = b.w[-2:] AND b.r < a.r AND abs(a.n - b.n) <= 1),
      p AS (SELECT a.r, a.w AS x, b.w AS y FROM c JOIN u a ON a.r = ar JOIN u b ON b.r = br),
      near AS (SELECT DISTINCT r FROM p WHERE
           (len(x) = len(y) AND len([i FOR i IN range(1, len(x) + 1) IF x[i] <> y[i]]) = 1)
@@ -56,91 +65,119 @@ FROM documents d LEFT JOIN kept USING (doc_id)
 """
 
 
-def _order(doc_id: str, line_no: str) -> Column:
-    """Place of an occurrence in the order that decides which is earliest, as one number."""
-    return F.coalesce(F.col(doc_id), F.lit(LAST)).cast("decimal(19,0)") * F.lit(10_000_000_000).cast("decimal(11,0)") + F.col(line_no).cast("decimal(10,0)")
+def _lines(docs: DataFrame) -> DataFrame:
+    """All lines: doc_id, th (hash of the text), line_no, line (words with one space between)."""
+    # most texts hold single spaces only and need no regular expression
+    odd = " OR ".join(["startswith(text, ' ')", "endswith(text, ' ')", *[f"contains(text, '{x}')" for x in ("  ", " \\n", "\\n ")], *[f"contains(text, chr({c}))" for c in (9, 11, 12, 13)]])
+    single = r"btrim(regexp_replace(regexp_replace(text, '[\\x20\\x09\\x0B-\\x0D]+', ' '), ' ?\\n ?', '\\n'), ' ')"
+    doc = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.expr(f"IF({odd}, {single}, text)").alias("text"))
+    return doc.select("doc_id", "th", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """All lines: doc_id, th (hash of the text), line_no, line (words with one space between), h and g (two hashes of it)."""
-    doc = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
-    lines = doc.select("doc_id", "th", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
-    # most lines hold single spaces only and need no regular expression
-    odd = " OR ".join(["startswith(raw, ' ')", "endswith(raw, ' ')", "contains(raw, '  ')", *[f"contains(raw, chr({c}))" for c in (9, 11, 12, 13)]])
-    spaced = r"IF({}, btrim(regexp_replace(raw, '[\\x20\\x09-\\x0D]+', ' '), ' '), raw)".format(odd)
-    lines = lines.select("doc_id", "th", "line_no", F.expr(spaced).alias("line"))
-    return lines.select("*", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line", F.lit(2)).alias("g"))
+def _hash(line: str) -> Column:
+    return F.xxhash64(line)
 
 
-def _counted(lines: DataFrame, short: bool = False) -> DataFrame:
-    """Lines that take part, with their number of words n; with ``short``, all that hold a word."""
-    counted = lines.withColumn("n", F.expr("octet_length(line) - octet_length(replace(line, ' ', '')) + 1"))
-    return counted.where(F.col("line") != "") if short else counted.where(F.col("n") >= MIN_WORDS)
+def _place(rows: DataFrame) -> Callable[[str, str], Column]:
+    """Of all lines (doc_id, line_no): an expression for a line's place in their order, as one number.
 
+    A long where the ranges of both fit, else a decimal; the order is the same.
+    """
+    low, high, lines = rows.agg(F.min("doc_id"), F.max("doc_id"), F.max("line_no")).first()
+    low, high, shift = low or 0, high or 0, (lines or 0).bit_length()
+    if (high - low + 2) << shift < 1 << 62:
+        return lambda doc_id, line_no: (F.coalesce(F.col(doc_id), F.lit(high + 1)) - F.lit(low)) * F.lit(1 << shift) + F.col(line_no).cast("long")
+    last = F.expr("cast('9223372036854775808' AS decimal(19,0))")
+    return lambda doc_id, line_no: F.coalesce(F.col(doc_id).cast("decimal(19,0)"), last) * F.lit(10_000_000_000).cast("decimal(11,0)") + F.col(line_no).cast("decimal(10,0)")
 
-def _three_quarters(lines: DataFrame) -> DataFrame:
-    """Adds parts, an array of (key, lo, hi): an edit that leaves the key's words alone is at a place from lo to below hi.
 
-    Lines one word longer or shorter have quarters of the same size either for their own length or for one word less.
-    Leading and trailing words are stretches of the line itself, so keys need no array of words.
+def _sized(lines: DataFrame) -> DataFrame:
+    """Adds n (words of ``line``) and q0, q1: words of a part, if an edit adds a word or replaces one, or leaves one out.
+
+    Lines one word longer or shorter have parts of the same size either for their own length or for one word less;
+    q1 is null where it makes no difference, both are for lines of too few words.
     """
+    lines = lines.withColumn("n", F.expr("octet_length(line) - octet_length(replace(line, ' ', '')) + 1"))
+    lines = lines.withColumn("q0", F.expr(f"IF(n >= {MIN_WORDS}, cast((n - 1) div {PARTS} AS int), NULL)"))
+    return lines.withColumn("q1", F.expr(f"IF(n > {MIN_WORDS} AND (n - 2) div {PARTS} != (n - 1) div {PARTS}, cast((n - 2) div {PARTS} AS int), NULL)"))
+
+
+def _ends(slot: int) -> tuple[int, int, str]:
+    """Untouched parts at the front and at the back that a slot's key stands for, and the column with a part's words."""
+    front = PARTS - 1 - slot % PARTS
+    return front, PARTS - 1 - front, f"q{slot // PARTS}"
+
 
-    def parts(q: str) -> str:
-        out = []
-        for front in (3, 2, 1, 0):
-            back = 3 - front
-            used = [f"substring_index(line, ' ', {front} * {q})"] * (front > 0) + [f"substring_index(line, ' ', -{back} * {q})"] * (back > 0)
-            out.append(f"named_struct('key', xxhash64({front}, {q}, {', '.join(used)}), 'lo', {front} * {q}, 'hi', n - {back} * {q})")
-        return f"array({', '.join(out)})"
-
-    lines = lines.withColumn("q0", F.expr("cast((n - 1) div 4 AS int)")).withColumn("q1", F.expr("cast((n - 2) div 4 AS int)"))
-    both = f"IF(q1 >= 1 AND q1 != q0, concat({parts('q0')}, {parts('q1')}), {parts('q0')})"
-    return lines.withColumn("parts", F.expr(both)).drop("q0", "q1")
-
-
-def _near(lines: DataFrame, rows: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Lines (h, g) that have an earlier line within one edit."""
-    keys = rows.select("h", "g", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b").select("key")
-    going = keys.distinct().join(shared, "key").groupBy("h", "g").agg(F.collect_set("key").alias("shared"))  # eight keys at most
-    going = durable(going.join(firsts, ["h", "g"]).select(F.col("h").alias("c_h"), F.col("g").alias("c_g"), "shared", "first"))
-    found = mark_maybe(lines, "h", going, "c_h", "maybe").where("maybe").drop("maybe")
-    found = found.join(going, F.expr("h = c_h AND g = c_g")).where(F.col("first") == _order("doc_id", "line_no"))
-    kept = F.filter("parts", lambda x: F.array_contains("shared", x["key"]))
-    found = _three_quarters(_counted(found)).select("h", "g", "n", F.split("line", " ").alias("words"), "first", kept.alias("parts"))
-    found = durable(found.dropDuplicates(["h", "g"]))
-
-    words = found.select("h", "g", F.posexplode("words").alias("k", "word"))
-    here = [F.shiftrightunsigned(F.xxhash64(F.lit(s), "word", "k"), 20) for s in (1, 2)]
-    back = [F.shiftrightunsigned(F.xxhash64(F.lit(s), "word", F.col("k") - 1), 20) for s in (1, 2)]
-    by = W.partitionBy("h", "g").orderBy("k")
-    before, after = by.rowsBetween(W.unboundedPreceding, -1), by.rowsBetween(1, W.unboundedFollowing)
-    zero = F.lit(0).cast("long")
-    words = words.select("h", "g", "k", *[x.alias(f"x{s}") for s, x in enumerate(here)], *[y.alias(f"y{s}") for s, y in enumerate(back)])
-    total = W.partitionBy("h", "g")
-    sums = words.select(
-        "h", "g", "k",
-        *[(F.coalesce(F.sum(f"x{s}").over(before), zero) + F.sum(f"y{s}").over(total) - F.coalesce(F.sum(f"y{s}").over(before), zero) - F.col(f"y{s}")).alias(f"v{s}") for s in (0, 1)],
-        *[F.when(F.col("k") == 0, F.sum(f"x{s}").over(total)).alias(f"whole{s}") for s in (0, 1)],
-    )
-    sums = sums.select("h", "g", F.explode(F.expr("IF(k = 0, array(named_struct('at', k, 'v0', v0, 'v1', v1), named_struct('at', -1, 'v0', whole0, 'v1', whole1)), array(named_struct('at', k, 'v0', v0, 'v1', v1)))")).alias("v")).select("h", "g", "v.*")
-    parts = found.select(F.col("h").alias("p_h"), F.col("g").alias("p_g"), "n", "first", F.explode("parts").alias("part"))
-    variants = sums.join(parts, F.expr("h = p_h AND g = p_g AND (at < 0 OR at BETWEEN part.lo AND part.hi - 1)"))
-    # lines with the same words left meet; `kept`: how many words those are
-    variants = variants.select("h", "g", "first", "at", F.col("part.key").alias("key"), "v0", "v1", (F.col("n") - F.when(F.col("at") < 0, 0).otherwise(1)).alias("left"))
-    group = ["key", "left", "v0", "v1"]
-    whole, same = F.min(F.when(F.col("at") < 0, F.col("first"))), F.min("first")
-    at_place = variants.groupBy(*group, "at").agg(same.alias("first"), F.count(F.lit(1)).alias("n"))
-    met = at_place.groupBy(*group).agg(whole.alias("whole"), F.min(F.when(F.col("at") >= 0, F.col("first"))).alias("part"), F.sum("n").alias("rows")).where("rows > 1")
-    place = at_place.where("at >= 0 AND n > 1").select(*[F.col(c).alias(f"s_{c}") for c in [*group, "at"]], F.col("first").alias("same"))
-    seen = variants.join(met, group).join(place, [F.col(c) == F.col(f"s_{c}") for c in [*group, "at"]], "left")
-    earliest = F.when(F.col("at") < 0, F.col("part")).otherwise(F.least(F.coalesce("whole", "same"), F.coalesce("same", "whole")))
-    pairs = seen.withColumn("earlier", earliest).where("earlier < first").groupBy("h", "g", "key").agg(F.min("earlier").alias("earlier"))
-    pairs = pairs.select("h", "g", "earlier").distinct()
-    mine = found.select("h", "g", F.col("words").alias("x"))
-    theirs = found.select(F.col("first").alias("t_first"), F.col("words").alias("y"))
-    pairs = pairs.join(mine, ["h", "g"]).join(theirs, F.col("earlier") == F.col("t_first"))
-    return pairs.where(_within_one_edit("x", "y")).select("h", "g").distinct()
+def _key(slot: int) -> str:
+    """Key of all but one of a line's parts.  They are stretches of the line itself, so keys need no array of words."""
+    front, back, q = _ends(slot)
+    used = [f"substring_index(line, ' ', {front} * {q})"] * (front > 0) + [f"substring_index(line, ' ', -{back} * {q})"] * (back > 0)
+    return f"IF({q} IS NULL, NULL, xxhash64({front}, {q}, {', '.join(used)}))"
+
+
+def _slots(lines: DataFrame, *columns: str) -> DataFrame:
+    """A row for each key of ``lines`` (k0, k1 ...): bit, key."""
+    keys = F.array(*[F.struct(F.lit(1 << s).cast("long").alias("bit"), F.col(f"k{s}").alias("key")) for s in range(SLOTS)])
+    return lines.where("k0 IS NOT NULL").select(*columns, F.explode(keys).alias("slot")).select(*columns, "slot.*").where("key IS NOT NULL")
+
+
+def _variants(found: DataFrame) -> DataFrame:
+    """The deletion neighbourhood of ``found`` (h, first, mask, line): k (hash of what is left), kind, h, first.
+
+    kind 0: a word left out, meets its like; 1: the line itself, 2: a word left out, meets the other.
+
+    Only the words between a key's ends vary.  Where they are many they are cut into blocks of the root of their number;
+    what lies before and after a block is hashed once for all its variants.  A line itself has a variant for each
+    block of a line with one word more.
+    """
+    parts = []
+    for s in range(SLOTS):
+        front, back, q = _ends(s)
+        parts.append(f"named_struct('bit', {1 << s}L, 'key', {_key(s)}, 'm', n - {front + back} * {q}, 'mid', substring_index(substring_index(line, ' ', n - {back} * {q}), ' ', {front} * {q} - (n - {back} * {q})), 'size', IF({q} <= {WHOLE}, {2 * WHOLE}, cast(ceil(sqrt({q})) AS int)))")
+    lines = _sized(found).select("h", "first", "mask", F.expr(f"explode(array({', '.join(parts)}))").alias("p")).where("(mask & p.bit) != 0").select("h", "first", "p.*")
+    # own: words of the line that the block belongs to, its own or one more
+    lines = lines.select("*", F.expr("explode(array(m, m + 1))").alias("own"))
+    lines = lines.select("*", F.expr("explode(sequence(0, (own - 1) div size))").alias("b")).withColumn("from", F.expr("b * size")).withColumn("to", F.expr("least(from + size, own)"))
+    around = "xxhash64(key, own, b, substring_index(mid, ' ', from), IF(to = own, '', substring_index(mid, ' ', to - own)))"
+    inside = "IF(from >= to - own + m, '', substring_index(substring_index(mid, ' ', to - own + m), ' ', from - (to - own + m)))"
+    lines = lines.select("h", "first", F.expr("own = m").alias("edited"), F.expr("to - from").alias("n"), F.expr(around).alias("around"), F.expr(inside).alias("inside"))
+    lines = lines.select("*", F.expr("explode(IF(edited, sequence(0, n - 1), array(-1)))").alias("at"))
+    left = "IF(edited, btrim(concat(substring_index(inside, ' ', at), ' ', IF(at = n - 1, '', substring_index(inside, ' ', at - n + 1))), ' '), inside)"
+    lines = lines.select("h", "first", "edited", "at", F.expr(f"xxhash64(around, {left})").alias("k"))
+    kinds = F.explode(F.expr("IF(edited, array(2, 0), array(1))")).alias("kind")
+    return lines.select("h", "first", "at", "k", kinds).select("h", "first", "kind", F.expr("IF(kind = 0, xxhash64(k, at), k)").alias("k"))
+
+
+def _near(docs: DataFrame, firsts: DataFrame, place: Callable[[str, str], Column]) -> DataFrame:
+    """Distinct lines (h, first) of ``firsts`` that have an earlier line within one edit."""
+    keys = _slots(firsts, "h", "first")
+    shared = durable(keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b").select(F.col("key").alias("s_key")))
+    keys = mark_maybe(keys, "key", shared, "s_key", "maybe").where("maybe").drop("maybe")
+    going = keys.join(shared, F.col("key") == F.col("s_key")).groupBy("h", "first").agg(F.bit_or("bit").alias("mask"))
+    going = durable(going.select(F.col("h").alias("c_h"), F.col("first").alias("c_first"), "mask", F.xxhash64("first").alias("c_place")))
+    discard(shared)
+
+    lines = _lines(docs).withColumn("first", place("doc_id", "line_no")).withColumn("place", F.xxhash64("first"))
+    lines = mark_maybe(lines, "place", going, "c_place", "maybe").where("maybe").select("first", "line")
+    lines = lines.withColumn("h", _hash("line"))
+    found = lines.join(going, F.expr("first = c_first AND h = c_h")).select("h", "first", "mask", "line")
+    found = durable(found.dropDuplicates(["h", "first"]))
+    discard(going)
+
+    variants = _variants(found)
+    one, other = F.min(F.when(F.col("kind") != 2, F.col("first"))), F.min(F.when(F.col("kind") == 2, F.col("first")))
+    met = variants.groupBy("k").agg(one.alias("m0"), other.alias("m1"), F.max("first").alias("top"))
+    met = durable(met.where("(m1 IS NOT NULL AND m0 IS NOT NULL) OR (m1 IS NULL AND top > m0)").select(F.col("k").alias("m_k"), "m0", "m1"))
+    seen = mark_maybe(variants, "k", met, "m_k", "maybe").where("maybe").drop("maybe").join(met, F.col("k") == F.col("m_k"))
+    seen = seen.withColumn("earlier", F.when(F.col("kind") == 1, F.col("m1")).otherwise(F.col("m0"))).where("earlier < first")
+    pairs = seen.select("h", "first", "earlier").distinct()
+    mine = found.select(F.col("h").alias("x_h"), F.col("first").alias("x_first"), F.split("line", " ").alias("x"))
+    theirs = found.select(F.col("first").alias("y_first"), F.split("line", " ").alias("y"))
+    pairs = pairs.join(mine, F.expr("h = x_h AND first = x_first")).join(theirs, F.expr("earlier = y_first"))
+    near = durable(pairs.where(_within_one_edit("x", "y")).select("h", "first").distinct())
+    discard(met)
+    discard(found)
+    return near
 
 
 def _within_one_edit(x: str, y: str) -> Column:
@@ -150,43 +187,57 @@ def _within_one_edit(x: str, y: str) -> Column:
     return F.expr(f"CASE WHEN size({x}) = size({y}) THEN {rest(x, 1)} = {rest(y, 1)} WHEN size({x}) = size({y}) + 1 THEN {rest(x, 1)} = {rest(y, 0)} WHEN size({y}) = size({x}) + 1 THEN {rest(x, 0)} = {rest(y, 1)} ELSE false END")
 
 
-def dropped_lines(docs: DataFrame, short: bool = False) -> DataFrame:
-    """Per text that loses lines: d_doc_id, d_th (hash of the text), gone (its lines' numbers)."""
-    lines = _lines(docs)
-    # short lines have no keys, so they meet equal lines only
-    keys = F.when(F.col("n") >= MIN_WORDS, F.col("parts.key")).otherwise(F.array().cast("array<bigint>")) if short else F.col("parts.key")
-    rows = durable(_three_quarters(_counted(lines, short)).select("doc_id", "th", "line_no", "h", "g", keys.alias("keys")))
-    firsts = durable(rows.groupBy("h", "g").agg(F.min(_order("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("times")))
-    near = durable(_near(lines, rows, firsts)).withColumn("near", F.lit(True))
-    judged = firsts.join(near, ["h", "g"], "left").where("times > 1 OR near").select(F.col("h").alias("j_h"), F.col("g").alias("j_g"), "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = rows.join(judged, F.expr("h = j_h AND g = j_g")).where(F.col("near") | (_order("doc_id", "line_no") > F.col("first")))
-    gone = gone.select("doc_id", "th", "line_no").distinct()  # a document's lines: bounded by its text
-    return durable(gone.groupBy(F.col("doc_id").alias("d_doc_id"), F.col("th").alias("d_th")).agg(F.collect_list("line_no").alias("gone")))
+def dropped_lines(docs: DataFrame) -> DataFrame:
+    """Per text that loses lines: d_doc_id, d_th (hash of the text), n_gone, and gone: a byte for each line up to the last
+    that goes, '1' for those that do."""
+    lines = _sized(_lines(docs).where("line != ''"))
+    lines = lines.withColumn("h", _hash("line")).withColumn("g", F.xxhash64(F.lit(1), "line", F.lit(2)))
+    rows = durable(lines.select("doc_id", "th", "line_no", "h", "g", *[F.expr(_key(s)).alias(f"k{s}") for s in range(SLOTS)]))
+    place = _place(rows)
+    firsts = rows.groupBy("h", "g").agg(F.min(place("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("times"), *[F.min(f"k{s}").alias(f"k{s}") for s in range(SLOTS)])
+    firsts = durable(firsts)
+    near = _near(docs, firsts, place)
+    close = near.select(F.col("h").alias("n_h"), F.col("first").alias("n_first"), F.lit(True).alias("near"))
+    judged = firsts.join(close, F.expr("h = n_h AND first = n_first"), "left").where("times > 1 OR near")
+    judged = judged.select(F.col("h").alias("j_h"), F.col("g").alias("j_g"), "first", F.coalesce("near", F.lit(False)).alias("near"))
+    gone = rows.join(judged, F.expr("h = j_h AND g = j_g")).where(F.col("near") | (place("doc_id", "line_no") > F.col("first")))
+    # a document's lines: bounded by its text.  Repeated rows bring a line more than once.
+    held = gone.groupBy(F.col("doc_id").alias("d_doc_id"), F.col("th").alias("d_th")).agg(F.collect_set("line_no").alias("l"))
+    flags = "array_join(zip_with(sort_array(l), concat(array(-1), sort_array(l)), (x, p) -> IF(x IS NULL, '', concat(repeat('0', x - p - 1), '1'))), '')"
+    out = durable(held.select("d_doc_id", "d_th", F.size("l").alias("n_gone"), F.expr(flags).cast("binary").alias("gone")))
+    for done in (rows, firsts, near):
+        discard(done)
+    return out
+
+
+def _kept(text: str, gone: str) -> Column:
+    return F.expr(f"array_join(filter(split({text}, '\\n', -1), (x, i) -> substring({gone}, i + 1, 1) != X'31'), '\\n')")
+
+
+def _marked(docs: DataFrame, lost: DataFrame) -> tuple[DataFrame, DataFrame, str, str]:
+    """``docs`` in two: rows whose text surely stays, and the others with n_gone and gone (null if it stays after all)."""
+    th, maybe, d_doc, d_th, gone, n_gone = fresh(docs, "line_th", "line_maybe", "line_doc", "line_dth", "line_gone", "line_n_gone")
+    lost = lost.select(F.col("d_doc_id").alias(d_doc), F.col("d_th").alias(d_th), F.col("gone").alias(gone), F.col("n_gone").alias(n_gone))
+    marked = mark_maybe(docs.withColumn(th, F.xxhash64("text")), th, lost, d_th, maybe)
+    loses = marked.where(F.col(maybe)).join(lost, (F.col(th) == F.col(d_th)) & F.col("doc_id").cast("long").eqNullSafe(F.col(d_doc)), "left")
+    return marked.where(~F.col(maybe)).select(*docs.columns), loses.drop(th, maybe, d_doc, d_th), gone, n_gone
 
 
-def dedup_lines(docs: DataFrame, short: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with such lines left out of ``text`` (and ``n_chars``, if there, as it then is)."""
-    lost = dropped_lines(docs.select("doc_id", "text"), short)
-    th, maybe, d_doc, d_th, gone = fresh(docs, "line_th", "line_maybe", "line_doc", "line_dth", "line_gone")
-    lost = lost.select(F.col("d_doc_id").alias(d_doc), F.col("d_th").alias(d_th), F.col("gone").alias(gone))
-    marked = docs.withColumn(th, F.xxhash64("text"))
-    marked = mark_maybe(marked, th, lost, d_th, maybe)
-    loses = marked.where(F.col(maybe)).join(lost, (F.col(th) == F.col(d_th)) & F.col("doc_id").cast("long").eqNullSafe(F.col(d_doc)), "left")
-    kept = F.expr(f"array_join(filter(split(text, '\\n', -1), (x, i) -> NOT array_contains({gone}, i)), '\\n')")
-    loses = loses.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept))
+    same, loses, gone, _ = _marked(docs, dropped_lines(docs.select("doc_id", "text")))
+    loses = loses.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(_kept("text", gone)))
     if "n_chars" in docs.columns:
         loses = loses.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
-    return marked.where(~F.col(maybe)).select(*docs.columns).unionByName(loses.select(*docs.columns))
+    return same.unionByName(loses.select(*docs.columns))
 
 
 def line_digests(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_lines, n_dropped, and n_chars and text_sha256 of the text that stays."""
-    before = docs.select("doc_id", "text", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"))
-    gone = dropped_lines(before)
-    marked = mark_maybe(before.withColumn("line_th", F.xxhash64("text")), "line_th", gone, "d_th", "line_maybe")
-    loses = marked.where("line_maybe").join(gone, (F.col("line_th") == F.col("d_th")) & F.col("doc_id").cast("long").eqNullSafe(F.col("d_doc_id")), "left")
-    kept = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> NOT array_contains(gone, i)), '\\n')")
-    loses = loses.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)).withColumn("n_dropped", F.coalesce(F.size("gone"), F.lit(0)))
-    rows = marked.where("NOT line_maybe").withColumn("n_dropped", F.lit(0)).select("doc_id", "text", "n_lines", "n_dropped").unionByName(loses.select("doc_id", "text", "n_lines", "n_dropped"))
+    before = docs.select("doc_id", "text")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines")
+    same, loses, gone, n_gone = _marked(before, dropped_lines(before))
+    loses = loses.select("doc_id", n_lines, F.coalesce(n_gone, F.lit(0)).alias("n_dropped"), F.when(F.col(gone).isNull(), F.col("text")).otherwise(_kept("text", gone)).alias("text"))
+    rows = same.select("doc_id", n_lines, F.lit(0).alias("n_dropped"), "text").unionByName(loses)
     text = F.coalesce("text", F.lit(""))
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "n_lines", F.greatest("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), F.length(text).cast("long").alias("n_chars"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "n_lines", F.col("n_dropped").cast("long").alias("n_dropped"), F.length(text).cast("long").alias("n_chars"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))

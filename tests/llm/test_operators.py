@@ -229,12 +229,11 @@ def brute_lines(docs):
         kept = []
         for line in (text or "").split("\n") if text is not None else []:
             words = [w for w in line.replace("\t", " ").split(" ") if w]
-            if len(words) >= 5 and any(within_one(words, h) for h in held):
-                held.append(words)
-                continue
-            if len(words) >= 5:
+            near = any(words == h or len(words) >= 5 <= len(h) and within_one(words, h) for h in held)
+            if not words or not near:
+                kept.append(line)
+            if words:
                 held.append(words)
-            kept.append(line)
         out[doc_id] = None if text is None else "\n".join(kept)
     return out
 
@@ -272,27 +271,36 @@ def test_line_dedup_of_rows_without_ids_and_repeated_rows(spark):
 
 
 def test_short_lines_go_if_equal(spark):
-    from corpus_pipeline import line_dedup
     from lumenreel.llm.lines import dedup_lines
 
     rng = np.random.default_rng(4)
     script = "\u4e2d\u6587" * 40
     lines = [prose(rng, int(rng.integers(1, 8)), 3) for _ in range(40)] + ["Read more", "Read  more\t", "Read less", script, "", " "]
     texts = ["\n".join(rng.choice(lines, int(rng.integers(1, 9)))) for _ in range(50)] + ["Read more\nRead less\n" + script] * 2
-    held, want = [], {}
-    for k, text in enumerate(texts):
-        kept = []
-        for line in text.split("\n"):
-            words = line.replace("\t", " ").split()
-            near = any(words == h or len(words) >= 5 <= len(h) and within_one(words, h) for h in held)
-            if not words or not near:
-                kept.append(line)
-            if words:
-                held.append(words)
-        want[k] = "\n".join(kept)
-    df = documents(spark, texts)
-    assert {r.doc_id: r.text for r in line_dedup(spark, df, "").collect()} == want
-    assert want[len(texts) - 1] == "" and {r.doc_id: r.text for r in dedup_lines(df).collect()} != want
+    got = {r.doc_id: r.text for r in dedup_lines(documents(spark, texts)).collect()}
+    assert got == brute_lines(list(enumerate(texts))) and got[len(texts) - 1] == ""
+
+
+def test_line_order_of_far_apart_ids(spark):
+    from lumenreel.llm.lines import dedup_lines
+
+    line = "one two three four five six seven"
+    ids = [-(2**63), -5, 0, 2**63 - 1, None]
+    df = spark.createDataFrame([(k, line.replace("six", f"six{n}") + "\nshort") for n, k in enumerate(ids)], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in dedup_lines(df).collect()} == {ids[0]: df.collect()[0].text, **dict.fromkeys(ids[1:], "")}
+
+
+def test_long_lines_and_many_lines(spark):
+    from lumenreel.llm.lines import dedup_lines
+
+    rng = np.random.default_rng(6)
+    long = prose(rng, 30_000, 5000).split()
+    other = [*long[:20_000], "replaced", *long[20_001:]]
+    added = [*long[:7], "added", *long[7:]]
+    many = [f"line number {k} of a long document" for k in range(20_000)]
+    texts = [" ".join(long), " ".join(other), " ".join(added), "\n".join(many), "\n".join(["new"] + many + ["last"])]
+    got = {r.doc_id: r.text for r in dedup_lines(documents(spark, texts)).collect()}
+    assert got == {0: texts[0], 1: "", 2: "", 3: many[0], 4: "new\nlast"}
 
 
 # ------------------------------------------------------------------------------------------------- mixing
