@@ -69,7 +69,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     """All lines: doc_id, th (hash of the text), line_no, line (words with one space between)."""
     # most texts hold single spaces only and need no regular expression
     odd = " OR ".join(["startswith(text, ' ')", "endswith(text, ' ')", *[f"contains(text, '{x}')" for x in ("  ", " \\n", "\\n ")], *[f"contains(text, chr({c}))" for c in (9, 11, 12, 13)]])
-    single = r"btrim(regexp_replace(regexp_replace(text, '[\\x20\\x09\\x0B-\\x0D]+', ' '), ' ?\\n ?', '\\n'), ' ')"
+    single = r"btrim(regexp_replace(regexp_replace(text, '[\\x20\\x09\\x0B-\\x0D]+', ' '), ' ?\\n ?', '\n'), ' ')"
     doc = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.expr(f"IF({odd}, {single}, text)").alias("text"))
     return doc.select("doc_id", "th", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
