@@ -14,7 +14,9 @@ components with 41 rows a fingerprint, where all pairs would grow with the squar
 Results for odd input
     null or empty text, or only white space: fingerprint zero, linked like any other.  null doc_id: its row is part of
     its group, whose component_id is the smallest doc_id that isn't null (null if there is none).  Repeated rows: one
-    result each.  Empty table: no rows.  Other columns are not read.
+    result each.  Different texts under one doc_id: each is in the group of its own text.  :func:`near_dedup` keeps one row
+    of a group: of the smallest doc_id (null last), then of the smallest hash of the text, then of all columns.  Empty table:
+    no rows.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -58,14 +60,15 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, f (the fingerprint as a long)."""
+    """Per row: doc_id, th (hash of the text), f (the fingerprint as a long)."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            out = pa.array([fingerprint(t.as_py() or b"") for t in batch.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), out], ["doc_id", "f"])
+            out = pa.array([fingerprint(t.as_py() or b"") for t in batch.column(2)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], out], ["doc_id", "th", "f"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(batches, "doc_id long, f long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(batches, "doc_id long, th long, f long")
 
 
 def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -89,22 +92,30 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     return near.unionAll(crowded).distinct()
 
 
+def _classes(rows: DataFrame, least: Column, crowd: int = CROWD) -> DataFrame:
+    """Distinct fingerprints of ``rows``: f, least (an aggregate of the rows with it), label (equal within a component)."""
+    prints = durable(rows.groupBy("f").agg(least.alias("least")))
+    found = components(links(prints.select("f"), crowd))
+    return prints.join(found, F.col("f") == F.col("node"), "left").select("f", "least", F.coalesce("component", "f").alias("label"))
+
+
 def near_groups(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hexadecimal digits), component_id (smallest doc_id reachable by links)."""
     rows = durable(fingerprints(docs))
-    prints = durable(rows.groupBy("f").agg(F.min("doc_id").alias("least")))
-    found = components(links(prints.select("f"), crowd))
-    classes = prints.join(found, F.col("f") == F.col("node"), "left").select("f", "least", F.coalesce("component", "f").alias("label"))
+    classes = _classes(rows, F.min("doc_id"), crowd)
     ids = classes.groupBy("label").agg(F.min("least").alias("component_id"))
     named = classes.join(ids, "label").select("f", "component_id")
     return rows.join(named, "f").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group: the one with the smallest doc_id; rows without doc_id stay."""
-    one, key = fresh(docs, "one", "key")
-    kept = near_groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    known = docs.where("doc_id IS NOT NULL")
-    out = known.join(kept, F.col("doc_id").cast("long") == F.col(key), "left_semi")
-    out = out.withColumn(one, F.row_number().over(W.partitionBy(F.col("doc_id").cast("long")).orderBy(F.lit(1)))).where(f"{one} = 1").drop(one)
-    return out.unionByName(docs.where("doc_id IS NULL"))
+    """``docs`` with one row of each group."""
+    id_, th, k_id, k_th, one = fresh(docs, "near_id", "near_th", "keep_id", "keep_th", "near_one")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
+    kept = _classes(durable(fingerprints(docs)), first).groupBy("label").agg(F.min("least").alias("least"))
+    kept = kept.select(F.col("least.doc_id").alias(k_id), F.col("least.th").alias(k_th)).distinct()
+    rows = docs.withColumn(id_, F.col("doc_id").cast("long")).withColumn(th, F.xxhash64("text"))
+    rows = rows.join(kept, F.col(id_).eqNullSafe(F.col(k_id)) & (F.col(th) == F.col(k_th)), "left_semi")
+    # repeated rows
+    by = W.partitionBy(id_, th).orderBy(F.xxhash64(*docs.columns))
+    return rows.withColumn(one, F.row_number().over(by)).where(f"{one} = 1").select(*docs.columns)
