@@ -57,7 +57,12 @@ def apportion(items: DataFrame, group: list[str], item: list[str], votes: str, h
     whole = F.sum(votes).over(by)
     base = F.when(whole > 0, F.floor(F.col(votes) * F.col(house) / whole + 0.5)).otherwise(0).cast("long")
     rows = items.withColumn("base", base).withColumn("short", F.col(house).cast("long") - F.sum("base").over(by)).withColumn("whole", whole)
-    near = F.ceil(F.abs("short") * F.col(votes) / F.col("whole")).cast("long") + 1
+    # at a divisor that seats all, those that have seats can't have moved by more than this
+    big = F.sum(F.when(F.col("base") > 0, F.col(votes)).otherwise(0)).over(by)
+    bigs = F.sum(F.when(F.col("base") > 0, 1).otherwise(0)).over(by)
+    rows = rows.withColumn("big", big).withColumn("bigs", bigs)
+    moves = F.ceil((F.abs("short") + F.col("bigs")) * F.col(votes) / F.greatest(F.col("big"), F.lit(1e-300))) + 2
+    near = F.when(F.col("big") > 0, F.least(F.abs("short"), moves.cast("long"))).otherwise(F.abs("short"))
     steps = F.when((F.col("short") == 0) | (F.col("whole") == 0), F.array(F.lit(0).cast("long"))).otherwise(
         F.sequence(F.lit(0).cast("long"), F.when(F.col("short") < 0, F.least(near, F.greatest(F.col("base"), F.lit(1)))).otherwise(near) - 1)
     )
@@ -75,7 +80,7 @@ def apportion(items: DataFrame, group: list[str], item: list[str], votes: str, h
 
 def _sizes(docs: DataFrame, *more: Column) -> DataFrame:
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), *more)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), F.xxhash64("text").alias("th"), *more)
 
 
 def _plan(sized: DataFrame, seed: int) -> DataFrame:
@@ -88,7 +93,8 @@ def _plan(sized: DataFrame, seed: int) -> DataFrame:
     sources = sources.withColumn("house", F.floor(F.col("total") / F.col("block") + 0.5))
     sources = durable(apportion(sources, [], ["source"], "target", "house").select("source", "source_size", "target", "shards", "block", F.col("seats").alias("blocks")))
     named = sources.withColumnRenamed("source", "s_source")
-    shard = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("shards"))
+    seeded = F.coalesce("doc_id", "th")  # rows without doc_id don't all go to one shard
+    shard = F.pmod(F.xxhash64(seeded, F.lit(seed)), F.col("shards"))
     rows = sized.join(named, sized.source.eqNullSafe(named.s_source)).drop("s_source").withColumn("shard", shard)
     held = rows.groupBy("source", "shard", "block", "blocks").agg(F.sum("size").alias("words"))
     quotas = apportion(held, ["source"], ["shard"], "words", "blocks")
@@ -99,7 +105,7 @@ def _plan(sized: DataFrame, seed: int) -> DataFrame:
         F.least(F.col("seats") * F.col("block"), COPIES * F.col("words")).alias("quota"),
     )
     rows = rows.join(quotas, rows.source.eqNullSafe(quotas.q_source) & (rows.shard == quotas.q_shard))
-    order = W.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    order = W.partitionBy("source", "shard").orderBy(F.xxhash64(seeded, F.lit(seed + 1)), "doc_id", "size", "th").rowsBetween(W.unboundedPreceding, 0)
     start = F.sum("size").over(order) - F.col("size")
     rounds = F.when(F.col("words") > 0, F.expr("quota div words")).otherwise(0)
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - F.col("rounds") * F.col("words") - F.col("start")))
