@@ -1,8 +1,10 @@
 """Language identification by cross-parsing entropy.
 
 Per language a suffix automaton is built over a bounded sample of labelled text.  Parsing a text with it greedily into
-the longest stretches that occur in the sample gives a number of phrases; phrases times the log of the sample's length,
-per character, estimate the text's cross entropy, and the language with the smallest wins.
+the longest stretches that occur in the sample gives a number of phrases; phrases times the bits that name one (where in
+the sample, and how long), per character, estimate the text's cross entropy, and the language with the smallest wins.  A
+letter that the sample hasn't is a phrase that costs ``UNKNOWN_BITS`` at least, so that a sample of a few letters, cheap to
+point into, can't win texts by not knowing them.
 
 Since each phrase starts at the automaton's initial state, the parse is a walk of a complete transition table: where a
 state has no edge, the walk goes on from the initial state's edge and counts a phrase.  Texts are cut into segments of
@@ -11,12 +13,13 @@ each language's count, so it favours none).
 
 Sample (the documented bound): per language, of the eligible rows by hash of doc_id, up to ``SAMPLE_DOCS`` documents,
 whole ones, until ``SAMPLE_CHARS`` characters (or an equal part of ``ALL_CHARS``, if there are very many languages); a
-document that would go past it is cut there.  Every prediction reads its whole text.
+document that would go past it is cut there; of a script of many letters less is taken, so that the transition table
+keeps within ``CELLS``, but every letter of a sample is told apart.  Every prediction reads its whole text.
 
 Results for odd input
     null text or no letter: ``und``, score 0.  No labelled row: every prediction is ``und``.  Equal counts: the language
     first by code point.  null doc_id: predicted, never learned from, held_out false.  Repeated rows: one result each.
-    Other columns are not read.
+    Very long text: linear work.  Empty table: no rows.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,8 +36,10 @@ from pyspark.sql import functions as F
 from lumenreel.llm.common import crc_mod
 
 SAMPLE_DOCS, SAMPLE_CHARS, ALL_CHARS = 64, 24_000, 1_000_000
-#: Characters that an automaton tells apart; rarer ones of a sample break a phrase.
-ALPHABET = 250
+#: Cells of a language's transition table, and of all tables together.
+CELLS, ALL_CELLS = 8_000_000, 64_000_000
+#: Bits for a phrase's length, and the least that a letter costs that the sample hasn't.
+LENGTH_BITS, UNKNOWN_BITS = 4.0, 24.0
 SEGMENT = 256
 #: Characters walked at once.
 BATCH = 2_000_000
@@ -102,12 +107,16 @@ class Model:
         self.lower = lower
         self.languages = sorted(samples)
         each = min(SAMPLE_CHARS, ALL_CHARS // max(1, len(samples)))
+        cells = min(CELLS, ALL_CELLS // max(1, len(samples)))
         self.classes, self.tables, self.costs = [], [], []
         for name in self.languages:
             text = normalised(samples[name], lower)[0][:each]
-            points, counts = np.unique(text[text > 0], return_counts=True)
-            points = points[np.argsort(-counts, kind="stable")[:ALPHABET]]
-            classes = np.zeros(0x110000, np.uint8)
+            new = np.zeros(len(text), bool)
+            new[np.unique(text, return_index=True)[1]] = True
+            # at most two states a character, a cell for each letter so far
+            text = text[: max(1, int(np.searchsorted(2 * np.arange(1, len(text) + 1) * (np.cumsum(new) + GAP + 1), cells, side="right")))]
+            points = np.unique(text[text > 0])
+            classes = np.zeros(0x110000, np.uint8 if len(points) < 250 else np.uint16)
             classes[0] = GAP
             classes[points] = np.arange(len(points)) + GAP + 1
             width = len(points) + GAP + 1
@@ -128,10 +137,14 @@ class Model:
             packed[:, PAD] = np.arange(len(edges)) * width * 4
             self.classes.append(classes)
             self.tables.append(packed.ravel())
-            self.costs.append(math.log2(max(2, len(text))))
+            self.costs.append(math.log2(max(2, len(text))) + LENGTH_BITS)
 
     def phrases(self, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Phrases of each text (rows) in each language (columns)."""
+        return self._walk(symbols, starts)[0]
+
+    def _walk(self, symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases, and letters that the language's sample hasn't, of each text (rows) in each language (columns)."""
         n = len(starts) - 1
         lengths = np.diff(starts)
         pieces = np.maximum(1, -(-lengths // SEGMENT))
@@ -141,7 +154,7 @@ class Model:
         size = np.minimum(SEGMENT, starts[owner + 1] - begin)
         order = np.argsort(-size, kind="stable")
         owner, begin, size = owner[order], begin[order], size[order]
-        out = np.zeros((n, len(self.languages)))
+        out, unknown = np.zeros((2, n, len(self.languages)))
         padded = np.concatenate([symbols, np.zeros(SEGMENT, symbols.dtype)])
         active = np.searchsorted(-size, -np.arange(SEGMENT), side="left")  # segments longer than t
         for k, (classes, table) in enumerate(zip(self.classes, self.tables, strict=True)):
@@ -155,7 +168,8 @@ class Model:
                 count[:m] += now & 3
                 state[:m] = now >> 2
             out[:, k] = np.bincount(owner, count + (size > 0), n)
-        return out
+            unknown[:, k] = np.diff(np.concatenate([[0], np.cumsum(coded[: len(symbols)] == OTHER)])[starts])
+        return out, unknown
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score (share of the winner among the languages, by cross entropy) of each whole text."""
@@ -169,7 +183,8 @@ class Model:
             symbols, starts = normalised([t or "" for t in texts[at:end]], self.lower)
             some = np.diff(np.concatenate([[0], np.cumsum(symbols > 0)])[starts])
             if self.languages:
-                cost = self.phrases(symbols, starts) * np.array(self.costs)
+                phrases, unknown = self._walk(symbols, starts)
+                cost = phrases * np.array(self.costs) + unknown * np.maximum(0, UNKNOWN_BITS - np.array(self.costs))
                 for k in np.flatnonzero(some).tolist():
                     per = cost[k] / max(1, starts[k + 1] - starts[k])
                     best = int(np.argmin(per))
