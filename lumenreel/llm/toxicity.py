@@ -4,8 +4,8 @@ Lexicon
     Learned from labelled rows: whole words and word stems (prefixes of ``STEM_LENGTHS`` letters) that occur in toxic
     documents and hardly in others, joined with ``SEED_TERMS``.  All entries lie in one trie.  A word hits if it equals
     a term, begins with a stem, or is misspelled: the trie of terms intersected with their Levenshtein automata accepts it
-    within one edit (two from nine letters on).  A misspelling counts only if the word as
-    written is in no clean labelled document.  Look-alike digits and signs are read as letters first.
+    within one edit (two from nine letters on).  Terms of fewer than ``SHORT`` letters and stems must be met exactly.  A
+    misspelling counts only if the word as written is in no clean labelled document.  Look-alike digits and signs are read as letters first.
 
 Context
     A hit is quoted if quotation marks enclose it within ``WINDOW`` words, or a word of reporting or rejection stands
@@ -16,12 +16,14 @@ Score
     kinds of hits and are fitted to the labelled rows (penalised Newton steps); stems and misspellings share the weight
     of any hit and differ from it by a fitted part, so kinds that the labels don't show keep the prior's difference.
 
-Bound of the sample (documented): the ``SAMPLE`` eligible labelled rows with the smallest hash of doc_id, whole texts.
+Bound of the sample (documented): the ``SAMPLE`` eligible labelled rows with the smallest hash of doc_id, whole texts, but
+none of more than ``SAMPLE_CHARS`` characters, so that what the driver holds is bounded.
 Every score reads its whole text.
 
 Results for odd input
     null or empty text: no hits, the model's base score.  No labelled row: seed terms and prior.  null doc_id: scored,
-    never learned from, held_out false.  Repeated rows: one result each.  Other columns are not read.
+    never learned from, held_out false.  Repeated rows: one result each.  Very long text: linear work.  Empty table: no
+    rows.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,11 +41,13 @@ from pyspark.sql import functions as F
 
 from lumenreel.llm.common import crc_mod
 
-SAMPLE, MEMO = 3_000, 200_000
+SAMPLE, SAMPLE_CHARS, MEMO = 3_000, 200_000, 200_000
 #: Texts whose words are held at once.
 STEP = 128
 #: Letters of a term and a word from which two edits are one misspelling.
 LONG = 9
+#: Letters of the shortest term of which a word one edit away is a misspelling (of four letters every second word would be).
+SHORT = 5
 STEM_LENGTHS = (4, 5, 6)
 WINDOW = 6
 #: Common English terms of abuse, whatever the labels show.
@@ -154,15 +158,16 @@ class Lexicon:
     def __init__(self, terms: set[str], stems: set[str], clean: frozenset[str] = frozenset()) -> None:
         self.terms, self.stems, self.clean = terms, stems, clean
         self.lengths = {len(s) for s in stems}
-        self.near = LevenshteinTrie(sorted(t for t in terms if len(t) >= 5), 1)
+        self.near = LevenshteinTrie(sorted(t for t in terms if len(t) >= SHORT), 1)
         self.far = LevenshteinTrie(sorted(t for t in terms if len(t) >= LONG), 2)
+        self.longest = max(map(len, terms), default=0) + 2  # no longer word is within two edits
         self.memo: dict[str, int] = {}
 
     def misspelled(self, words: list[str]) -> np.ndarray:
         """Which words are within one edit of a term (of two, if both have ``LONG`` letters)."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        fits = [w if 4 <= len(w) <= 32 else "" for w in words]
-        return (sizes >= 4) & self.near.accepts(fits) | (sizes >= LONG) & self.far.accepts(fits)
+        fits = [w if len(w) <= self.longest else "" for w in words]
+        return (sizes >= SHORT - 1) & self.near.accepts(fits) | (sizes >= LONG) & self.far.accepts(fits)
 
     def learn_words(self, words: set[str]) -> None:
         """Puts the kinds of words as written into the memo: 0 no hit, 1 term, 2 stem, 3 misspelled term."""
@@ -178,7 +183,7 @@ class Lexicon:
                 memo[w] = 1
             elif any(low[:k] in self.stems for k in self.lengths if len(low) > k):
                 memo[w] = 2
-            elif low not in self.clean and len(low) >= 4:
+            elif low not in self.clean and len(low) >= SHORT - 1:
                 open_.append(w)
                 read_as.append(low if low.isalpha() else low.translate(LOOK_ALIKE).replace("*", "").replace("'", "").replace("’", ""))
         if open_:
@@ -269,7 +274,7 @@ def learn_lexicon(rows: list[tuple[str, int]]) -> Lexicon:
                 stems.add(max(longer, key=lambda x: (len(x), x))[:-1])
         terms = {t for t in terms if t in SEED_TERMS or not any(t.startswith(s) for s in stems)}
     first = Lexicon(terms, stems)
-    known = [w for w in clean if w[-1] != "*" and 4 <= len(w) <= 32]
+    known = [w for w in clean if w[-1] != "*" and SHORT - 1 <= len(w) <= first.longest]
     return Lexicon(terms, stems, frozenset(np.array(known, object)[first.misspelled(known)].tolist()) if known else frozenset())
 
 
@@ -301,7 +306,7 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0) -
     marks = labels.select(F.col("doc_id").cast("long").alias("l_doc_id"), F.col("toxic").cast("int").alias("toxic"))
     marks = marks.where("toxic IS NOT NULL AND l_doc_id IS NOT NULL").where(crc_mod("l_doc_id", modulus) != held)
     marks = marks.withColumn("h", F.xxhash64("l_doc_id")).orderBy("h", "l_doc_id", "toxic").limit(SAMPLE)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length(F.coalesce("text", F.lit(""))) <= SAMPLE_CHARS)
     # at most SAMPLE rows: small enough to send to every task
     rows = texts.join(F.broadcast(marks), F.col("doc_id") == F.col("l_doc_id")).select("h", "doc_id", "text", "toxic")
     held_rows = sorted({(r.h, r.doc_id, r.text or "", r.toxic) for r in rows.toLocalIterator()})
