@@ -8,6 +8,7 @@ up to every depth, and only what is still overfull is looked at again with 12 mo
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenreel.llm.common import durable
@@ -35,13 +36,10 @@ def build(weights: DataFrame, limit: int) -> list[tuple[int, DataFrame, int]]:
     left = weights
     for bits in range(STEP, BITS + 1, STEP):
         cells = left.groupBy(prefix(F.col("h"), bits).alias("p")).agg(F.sum("w").alias("w"))
-        depths = F.explode(F.sequence(F.lit(bits - STEP), F.lit(bits)))
-        nodes = cells.select("p", "w", depths.alias("d")).groupBy("d", F.expr(f"shiftright(p, {bits} - d)").alias("q")).agg(F.sum("w").alias("w"))
-        fits = nodes.where(F.col("w") <= limit).select("d", "q")
-        asked = cells.select("p", depths.alias("d")).withColumn("q", F.expr(f"shiftright(p, {bits} - d)"))
-        entries = asked.join(fits, ["d", "q"]).groupBy("p").agg(F.min("d").alias("depth"))
-        entries = cells.select("p").join(entries, "p", "left").select("p", F.col("depth").cast("int").alias("depth"))
-        entries = durable(entries)
+        # the cells of one bucket of the step before: at most 2 ** STEP rows, rolled up by a window for each depth
+        node = lambda d: W.partitionBy(F.expr(f"shiftright(p, {STEP})"), F.expr(f"shiftright(p, {bits} - {d})"))
+        least = F.least(*[F.when(F.sum("w").over(node(d)) <= limit, d) for d in range(bits - STEP, bits + 1)])
+        entries = durable(cells.select("p", least.cast("int").alias("depth")))
         counts = entries.agg(F.count(F.lit(1)), F.count("depth")).first()
         out.append((bits, entries, counts[0]))
         if counts[0] == counts[1]:
