@@ -24,9 +24,9 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lumenreel.llm.sharding import assign
+    from lumenreel.llm.sharding import QUERY_LIMIT, assign
 
-    return assign(table(spark, sf_dir, "documents"))
+    return assign(table(spark, sf_dir, "documents"), QUERY_LIMIT)
 
 
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ no bits, a bucket splits on one more bit while its documents' UTF-8 bytes are ab
 (:mod:`lumenreel.llm.directory`).  Only document sizes are aggregated; texts don't move until shards are written.
 
 Results for odd input
-    null text: 0 bytes.  A document larger than the limit: a shard of its own.  null doc_id: hashed as empty text.
+    null text: 0 bytes.  A document larger than the limit: a shard of its own
+    (rows of one doc_id that each are: the same one).  null doc_id: hashed as empty text.
     Documents of one hash (repeated rows) that are together above the limit: overflow pages in the bucket, filled in
     reading order, each within the limit.  Empty table: no rows.  Other columns: ignored by :func:`assign`, kept by
     :func:`write_shards`.
@@ -20,14 +21,16 @@ from pyspark.sql import functions as F
 from lumenreel.llm import directory
 from lumenreel.llm.common import durable, fresh
 
-LIMIT = 1 << 20
+LIMIT = 256 << 20
+#: The registered query splits down to this, so that its tables give more than a few shards.
+QUERY_LIMIT = 1 << 20
 
 ORACLE = f"""
 WITH t AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n,
                   CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
      d AS (SELECT CAST(unnest(range(0, 61)) AS INTEGER) AS d),
-     nodes AS (SELECT d, h >> (60 - d) AS q, sum(n) AS w FROM t, d WHERE n <= {LIMIT} GROUP BY ALL),
-     leaves AS (SELECT t.doc_id, min(d) AS depth FROM t JOIN nodes ON q = h >> (60 - d) WHERE w <= {LIMIT} AND n <= {LIMIT} GROUP BY ALL),
+     nodes AS (SELECT d, h >> (60 - d) AS q, sum(n) AS w FROM t, d WHERE n <= {QUERY_LIMIT} GROUP BY ALL),
+     leaves AS (SELECT t.doc_id, min(d) AS depth FROM t JOIN nodes ON q = h >> (60 - d) WHERE w <= {QUERY_LIMIT} AND n <= {QUERY_LIMIT} GROUP BY ALL),
      named AS (SELECT t.doc_id, n, depth, CASE WHEN depth IS NULL THEN 'large-' || lpad(to_hex(h), 15, '0')
                       ELSE 'bits-' || array_to_string([CAST((h >> CAST(59 - i AS INTEGER)) & 1 AS VARCHAR) FOR i IN range(0, depth)], '') END AS shard
                FROM t LEFT JOIN leaves USING (doc_id))
