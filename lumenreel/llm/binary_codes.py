@@ -1,54 +1,59 @@
 """Embedding near-dedup with randomised-rotation binary codes.
 
-Each unit vector is turned by a random rotation; the signs of its coordinates are its code, and the inner product of the
-vector with its code's direction is stored as a correction factor.  For a pair, the product of one code with the other
-turned vector, divided by the factor, is an unbiased estimate of the cosine, with a confidence bound that follows from
-the factor alone.  Only pairs whose upper bound reaches the threshold are recomputed, exactly, in double precision; only
-these exact values decide.
-
-Which pairs are looked at: vectors meet in tables, each keyed by the sides of random planes of its own on which they lie.  Bits
-per table grow with the logarithm of the number of vectors, so a bucket holds about as many vectors at any size; the number of
-tables is what makes a pair at the threshold meet with probability ``RECALL`` (planes are independent, so it does at any
-size; a pair that meets in no table is lost).  A pair counts in the first table where it meets, so nothing has to be
-brought together to count it once.
-
-Equal vectors collapse before anything is compared.  A bucket of more than ``BLOCK`` vectors is compared block by block in
-separate tasks.  Tasks return a row per vector, not per pair.
+Each unit vector is turned by several random rotations; the signs of its coordinates are its codes, and with each of the
+first ``USED`` codes goes the inner product of the vector with its code's direction, the correction factor.  A code divided by
+its factor, turned back, is the vector plus an error at right angles to it, of known length and random direction.  So
+the inner product of one vector's code with another's code *of another rotation* is an unbiased estimate of the cosine; the
+mean over all pairs of rotations has a confidence bound that follows from the factors.  Only pairs whose upper bound reaches
+the threshold are recomputed, exactly, in double precision; only these exact values decide.
+
+Which pairs are looked at: vectors meet in tables, each keyed by code bits of its own.  Bits per table grow with the logarithm
+of the number of vectors, so a bucket holds about as many vectors at any size; the number of tables is what makes a pair at
+the threshold meet with probability ``RECALL``, at any size; a pair that meets in no table is lost.  A pair counts in the
+first table where it meets, which its codes tell, so nothing has to be brought together to count it once.
+
+What is dealt to the tables is a number, codes and factors, a fraction of a vector.  A task returns which of a bucket's
+vectors have a pair to recompute; only these are fetched, to the buckets that need them.  Equal vectors collapse before
+anything is compared.  A bucket of more than ``BLOCK`` vectors is compared block by block in separate tasks.  Tasks return a row
+per vector, not per pair.
 
 Results for odd input
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing.  Vectors of different length
-    never link.  Repeated rows: each counts as another vector.  null vec_id: links count, component_id is the smallest
-    that isn't null (null if there is none), kept false.  Empty table: no rows.  Other columns are not read.
+    never link.  Repeated rows: each counts as another vector.  Different vectors under one vec_id: linked only as their
+    values are.  null vec_id: links count, also between others; component_id is the smallest that isn't null (null if there is
+    none), kept false.  Empty table: no rows.  Other columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenreel.llm.common import durable
+from lumenreel.llm.common import discard, durable
 from lumenreel.llm.components import components
 
 THRESHOLD, RECALL, SEED = 0.95, 0.9999, 11
 BLOCK = 512
-#: Standard errors of an estimate that count as its bound.
-SURE = 4.0
+#: Rotations whose codes are used for estimates, and standard errors of an estimate that count as its bound.
+USED, SURE = 4, 4.0
 #: Entries up to which the list of crowded buckets is broadcast.
 SMALL = 65_536
 
 
 def shape_of_tables(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
     """Bits of a key and number of tables for ``n`` vectors."""
-    bits = min(48, max(4, round(math.log2(max(2, n))) - 7))
+    bits = min(40, max(4, round(math.log2(max(2, n))) - 7))
     meet = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
+@functools.cache
 def rotations(dim: int, count: int, seed: int = SEED) -> np.ndarray:
     """``count`` random rotations of ``dim`` dimensions."""
     out = []
@@ -76,38 +81,62 @@ def unit_vectors(column: pa.Array) -> list[np.ndarray | None]:
     return out
 
 
-def table_keys(units: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """A key for each vector (row) and table (column)."""
-    dim = units.shape[1]
-    weights = 1 << np.arange(bits, dtype=np.int64)
-    # number 0 is the rotation of the codes
-    planes = (np.random.default_rng([SEED, dim, k]).standard_normal((dim, bits)) for k in range(1, tables + 1))
-    return np.stack([(units @ p > 0) @ weights for p in planes], 1)
+def rotations_needed(dim: int, bits: int, tables: int) -> int:
+    return max(2, -(-bits * tables // dim))
+
+
+def encode(units: np.ndarray, bits: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (rows of packed bits, one rotation after another) and correction factors of the first ``USED`` rotations."""
+    n, dim = units.shape
+    turns = rotations(dim, rotations_needed(dim, bits, tables))
+    turned = units @ turns.reshape(-1, dim).T
+    factors = np.abs(turned.reshape(n, -1, dim)[:, :USED]).sum(2) / math.sqrt(dim)
+    return np.packbits(turned > 0, axis=1, bitorder="little"), factors.astype(np.float32)
+
 
+def signs(codes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(codes, axis=1, bitorder="little")
 
-def find_links(units: np.ndarray, keys: np.ndarray, table: int, left: np.ndarray, right: np.ndarray, turn: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs (left index, right index), among ``left`` x ``right``, that meet in ``table`` first.
 
-    The estimate uses the left vectors' codes and factors and the right vectors' turned coordinates.
-    """
-    dim = units.shape[1]
-    turned = units @ turn.T
-    codes = np.where(turned > 0, 1.0, -1.0) / math.sqrt(dim)
-    factor = np.einsum("ij,ij->i", turned, codes)
-    bound = SURE * np.sqrt(np.maximum(0, 1 - factor**2)) / factor / math.sqrt(max(1, dim - 1))
-    estimate = (codes[left] @ turned[right].T) / factor[left][:, None]
-    i, j = np.nonzero(estimate + bound[left][:, None] >= threshold)
+def table_keys(codes: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """A key for each code (row) and table (column): the table's number and its bits."""
+    cut = signs(codes)[:, : bits * tables].reshape(len(codes), tables, bits)
+    return (np.arange(tables, dtype=np.int64) << bits) | (cut.astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64)))
+
+
+def estimates(codes: np.ndarray, factors: np.ndarray, dim: int, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Unbiased estimates of the cosines of ``left`` x ``right``, and what a cosine of ``threshold`` may be off by at most."""
+    used = factors.shape[1]
+    plain = signs(codes)[:, : used * dim].reshape(len(codes), used, dim).astype(np.float32) * 2 - 1
+    plain /= factors[:, :, None] * math.sqrt(dim)
+    whole = sum(plain[:, k] @ turn for k, turn in enumerate(rotations(dim, used).astype(np.float32)))
+    plain = plain.reshape(len(codes), -1)
+    found = (whole[left] @ whole[right].T - plain[left] @ plain[right].T) / (used * (used - 1))
+    error = (1 / factors.astype(float) ** 2 - 1).mean(1)  # squared length
+    a, b = error[left][:, None], error[right][None, :]
+    spread = 2 * ((a + b) * (1 - threshold**2) / used + a * b / (used * (used - 1))) / max(1, dim - 1)
+    return found, SURE * np.sqrt(spread)
+
+
+def candidates(codes: np.ndarray, factors: np.ndarray, keys: np.ndarray, table: int, dim: int, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (left index, right index) to recompute, among those that meet in ``table`` first."""
+    found, bound = estimates(codes, factors, dim, left, right, threshold)
+    i, j = np.nonzero(found + bound >= threshold - 1e-4)  # room for the order of sums
     i, j = left[i], right[j]
-    if left is right or len(left) == len(right) and (left == right).all():
+    if left is right:
         i, j = i[i < j], j[i < j]
     for t in range(table):
         fresh = keys[i, t] != keys[j, t]
         i, j = i[fresh], j[fresh]
+    return i, j
+
+
+def exact_links(units: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
     linked = np.zeros(len(i), bool)
     for lo in range(0, len(i), 100_000):
         s = slice(lo, lo + 100_000)
         linked[s] = np.einsum("ij,ij->i", units[i[s]], units[j[s]]) >= threshold
-    return i[linked], j[linked]
+    return linked
 
 
 def _smallest_reachable(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -122,6 +151,34 @@ def _smallest_reachable(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return label
 
 
+GROUP = ["dim", "key", "lo", "hi"]
+
+
+def _by_group(it: Iterator[pa.RecordBatch], work: Callable[[tuple, list[tuple]], list[tuple]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Calls ``work`` with each group of rows that lie together (first columns: GROUP) and yields the rows it returns."""
+    held: list[tuple] = []
+    out: list[tuple] = []
+    now = None
+
+    def flushed() -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) if out else [()] * len(schema)
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    for batch in it:
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if row[:4] != now:
+                if len(held) > 1:
+                    out += work(now, held)
+                now, held = row[:4], []
+            held.append(row[4:])
+        if len(out) > 10_000:
+            yield flushed()
+    if len(held) > 1:
+        out += work(now, held)
+    yield flushed()
+
+
 def linked_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """Per row of ``vectors`` (vec_id, embedding): vec_id, n_links, component_id, kept."""
 
@@ -131,82 +188,80 @@ def linked_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: flo
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(units, pa.binary())], ["vec_id", "unit"])
 
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(digest, "vec_id long, unit binary")
-    rows = durable(rows.withColumn("of", F.md5("unit")))
+    rows = durable(rows.withColumn("of", F.unhex(F.md5("unit"))))
     alike = rows.where("of IS NOT NULL").groupBy("of").agg(F.min("unit").alias("unit"), F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("id"))
-    classes = durable(alike)
+    classes = durable(alike.withColumn("uid", F.monotonically_increasing_id()))
     bits, tables = shape_of_tables(classes.count(), threshold, recall)
 
-    def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def code(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             raw = [x.as_py() for x in batch.column(1)]
             for size in sorted({len(x) for x in raw}):
                 some = [k for k, x in enumerate(raw) if len(x) == size]
-                keys = table_keys(np.frombuffer(b"".join([raw[k] for k in some])).reshape(len(some), -1), bits, tables)
+                codes, factors = encode(np.frombuffer(b"".join([raw[k] for k in some])).reshape(len(some), -1), bits, tables)
+                keys = table_keys(codes, bits, tables)
                 part = batch.take(pa.array(some))
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * tables, pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns, listed], [*batch.schema.names, "keys"])
+                packed = [c.tobytes() + f.tobytes() for c, f in zip(codes, factors, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(packed, pa.binary()), listed], [*batch.schema.names, "code", "keys"])
 
-    keyed = durable(classes.mapInArrow(meet, "of string, unit binary, weight long, id long, keys array<long>"))
-    spread = keyed.select("*", F.posexplode("keys").alias("t", "key")).withColumn("size", F.length("unit"))
-    crowded = spread.groupBy("size", "t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
-    crowded = durable(crowded.select(F.col("size").alias("c_size"), F.col("t").alias("c_t"), F.col("key").alias("c_key"), F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    coded = durable(classes.select("uid", "unit").mapInArrow(code, "uid long, unit binary, code binary, keys array<long>"))
+    spread = coded.select("uid", "code", F.expr("cast(length(unit) div 8 AS int)").alias("dim"), F.explode("keys").alias("key"))
+    crowded = spread.groupBy("dim", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    crowded = durable(crowded.select(F.col("dim").alias("c_dim"), F.col("key").alias("c_key"), F.ceil(F.col("n") / block).cast("int").alias("blocks")))
     few = crowded.count() <= SMALL
-    spread = spread.join(F.broadcast(crowded) if few else crowded, F.expr("size = c_size AND t = c_t AND key = c_key"), "left").drop("c_size", "c_t", "c_key")
-    own = F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("of"), F.col("blocks"))).cast("int")
+    spread = spread.join(F.broadcast(crowded) if few else crowded, F.expr("dim = c_dim AND key = c_key"), "left").drop("c_dim", "c_key")
+    own = F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("uid"), F.col("blocks"))).cast("int")
     spread = spread.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
-    bucket = ["size", "t", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")]
-    dealt = spread.select(*bucket, "own", "unit", "weight", "id", "of", "keys")
-    names = ["size", "t", "key", "lo", "hi"]
-    dealt = dealt.repartition(*names).sortWithinPartitions(*names, "of")
+    dealt = spread.select("dim", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "uid", "code")
+    dealt = dealt.repartition(*GROUP).sortWithinPartitions(*GROUP, "uid")
+
+    def pairs(group: tuple, own: list[int], packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        dim, key, lo, hi = group
+        size = -(-rotations_needed(dim, bits, tables) * dim // 8)
+        both = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1)
+        codes, factors = both[:, :size], np.ascontiguousarray(both[:, size:]).view(np.float32)
+        owner = np.array(own)
+        left = np.flatnonzero(owner == lo)
+        right = left if lo == hi else np.flatnonzero(owner == hi)
+        return candidates(codes, factors, table_keys(codes, bits, tables), key >> bits, dim, left, right, threshold)
+
+    def estimate(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def work(group: tuple, held: list[tuple]) -> list[tuple]:
+            own, uid, packed = zip(*held, strict=True)
+            i, j = pairs(group, own, packed)
+            return [(*group, own[k], uid[k]) for k in np.union1d(i, j).tolist()]
+
+        schema = pa.schema([("dim", pa.int32()), ("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("own", pa.int32()), ("uid", pa.int64())])
+        yield from _by_group(it, work, schema)
+
+    asked = durable(dealt.mapInArrow(estimate, "dim int, key long, lo int, hi int, own int, uid long"))
+    held = classes.select(F.col("uid").alias("c_uid"), "weight").join(coded.select("uid", "unit", "code"), F.expr("c_uid = uid")).drop("uid")
+    fetched = asked.join(held, F.expr("uid = c_uid")).select(*GROUP, "own", "uid", "code", "unit", "weight")
+    fetched = fetched.repartition(*GROUP).sortWithinPartitions(*GROUP, "uid")
 
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turns: dict[int, np.ndarray] = {}
-        held: list[tuple] = []
-        now = None
-        out: list[tuple[str, int, int | None, int | None]] = []
-
-        def finish() -> None:
-            if len(held) < 2:
-                return
-            size, t, _, lo, hi = now
-            units = np.frombuffer(b"".join([h[1] for h in held])).reshape(len(held), -1)
-            dim = size // 8
-            if dim not in turns:
-                turns[dim] = rotations(dim, 1)[0]
-            keys = np.array([h[5] for h in held], np.int64)
-            owner = np.array([h[0] for h in held])
-            left, right = np.flatnonzero(owner == lo), np.flatnonzero(owner == hi)
-            i, j = find_links(units, keys, t, left, right, turns[dim], threshold)
-            if not len(i):
-                return
-            weight = np.array([h[2] for h in held], np.int64)
-            links = np.bincount(i, weight[j], len(held)) + np.bincount(j, weight[i], len(held))
+        def work(group: tuple, held: list[tuple]) -> list[tuple]:
+            own, uid, packed, units, weight = zip(*held, strict=True)
+            i, j = pairs(group, own, packed)
+            linked = exact_links(np.frombuffer(b"".join(units)).reshape(len(held), -1), i, j, threshold)
+            i, j, w = i[linked], j[linked], np.array(weight, np.int64)
+            links = np.bincount(i, w[j], len(held)) + np.bincount(j, w[i], len(held))
             roots = _smallest_reachable(len(held), i, j)
-            for k in np.flatnonzero(links).tolist():
-                out.append((held[k][4], int(links[k]), held[k][3], held[int(roots[k])][3]))
-
-        def flushed() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) if out else [(), (), (), ()]
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["of", "n", "a", "b"])
-
-        for batch in it:
-            columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
-            for size, t, key, lo, hi, *row in zip(*columns, strict=True):
-                if (size, t, key, lo, hi) != now:
-                    finish()
-                    now, held = (size, t, key, lo, hi), []
-                held.append(tuple(row))
-            if len(out) > 10_000:
-                yield flushed()
-        finish()
-        yield flushed()
-
-    found = durable(dealt.mapInArrow(compare, "of string, n long, a long, b long"))
-    links = found.groupBy("of").agg(F.sum("n").alias("n"))
-    reach = components(found.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b"))
-    known = classes.select("of", "weight", "id").join(links, "of", "left").join(reach, F.col("id") == F.col("node"), "left")
-    known = known.select(F.col("of").alias("k_of"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("reached"))
-    out = rows.select("vec_id", "of").join(known, F.col("of") == F.col("k_of"), "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("reached", "vec_id").alias("component_id"))
+            return [(uid[k], int(links[k]), uid[int(roots[k])]) for k in np.flatnonzero(links).tolist()]
+
+        yield from _by_group(it, work, pa.schema([("uid", pa.int64()), ("n", pa.int64()), ("root", pa.int64())]))
+
+    found = durable(fetched.mapInArrow(compare, "uid long, n long, root long"))
+    for done in (asked, crowded, coded):
+        discard(done)
+    links = found.groupBy(F.col("uid").alias("l_uid")).agg(F.sum("n").alias("n"))
+    reach = components(found.select(F.col("uid").alias("a"), F.col("root").alias("b")))
+    known = classes.select("uid", "of", "weight", "id").join(links, F.expr("uid = l_uid"), "left").join(reach, F.expr("uid = node"), "left")
+    known = durable(known.select(F.col("of").alias("k_of"), "id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "uid").alias("label")))
+    least = known.groupBy(F.col("label").alias("r_label")).agg(F.min("id").alias("reached"))
+    known = known.join(least, F.expr("label = r_label")).select("k_of", "n_links", "reached")
+    out = rows.join(known, F.col("of") == F.col("k_of"), "left")
+    component = F.when(F.col("of").isNull(), F.col("vec_id")).otherwise(F.col("reached"))
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
