@@ -125,10 +125,18 @@ def test_near_dedup_keeps_columns_and_one_of_each_group(spark):
     df = documents(spark, ["a b c d"] * 3 + ["other words here now", None]).unionAll(spark.createDataFrame([(3, "other words here now", "en", "s", 1), (None, "a b c d", "en", "s", 7)], DOCS))
     out = near_dedup(df)
     assert out.columns == df.columns
-    assert sorted((r.doc_id for r in out.collect()), key=str) == [0, 3, 4, None]
+    assert sorted((r.doc_id for r in out.collect()), key=str) == [0, 3, 4]  # the row without an id is a copy of row 0
     assert near_dedup(df.limit(0)).count() == 0
 
 
+def test_near_dedup_of_different_texts_under_one_id(spark):
+    from lumenreel.llm.simhash import near_dedup
+
+    a, b = "some words of the first text here", "quite another text with other words"
+    df = spark.createDataFrame([(1, a), (5, a), (5, b), (6, b), (None, b), (None, "alone")], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.text) for r in near_dedup(df).collect()) == [("1", a), ("5", b), ("None", "alone")]
+
+
 # ------------------------------------------------------------------------------------------------ sharding
 
 
@@ -376,6 +384,18 @@ def crc(k, n):
     return zlib.crc32(str(k).encode()) % n
 
 
+def test_apportionment_of_uneven_parties(spark):
+    from lumenreel.llm.mixing import apportion
+
+    for votes, house in (([1.0] * 400 + [1000.0] * 2, 600), ([1.0] * 50, 7), ([3.0] * 40 + [500.0], 90), ([0.0, 5.0, 0.0], 4)):
+        want = [0] * len(votes)
+        for _ in range(house):  # the highest quotient, first come first
+            want[max(range(len(votes)), key=lambda k: (votes[k] / (2 * want[k] + 1), -k))] += 1
+        rows = [(k, v, house) for k, v in enumerate(votes)]
+        got = {r.i: r.seats for r in apportion(spark.createDataFrame(rows, "i int, v double, house long"), [], ["i"], "v", "house").collect()}
+        assert [got[k] for k in range(len(votes))] == want, house
+
+
 def test_suffix_automaton_accepts_exactly_the_substrings():
     from lumenreel.llm.langid import SuffixAutomaton
 
@@ -433,6 +453,21 @@ def test_language_identification(spark):
     assert {r.lang_pred for r in identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_a_tiny_sample_wins_nothing_and_every_letter_counts():
+    from lumenreel.llm import langid
+
+    low, rng = langid.letters(), np.random.default_rng(3)
+    english = " ".join("".join(rng.choice(["th", "er", "and", "ing", "ou", "st", "be"], 3)) for _ in range(3000))
+    signs = "".join(chr(0x4E00 + int(k)) for k in rng.zipf(1.3, 9000) % 3000)
+    model = langid.Model({"en": [english], "xx": ["ab"], "zh": [signs]}, low)
+    texts = [english[k : k + 200] for k in range(0, 3000, 300)]
+    assert model.predict(texts)[0] == ["en"] * len(texts)
+    assert model.predict([signs[5000:5200], signs[7000:7010]])[0] == ["zh", "zh"]
+    zh = model.languages.index("zh")
+    rare = np.array([ord(c) for c in set(signs[:2000])])
+    assert (model.classes[zh][rare] > langid.GAP).all() and len(model.tables[zh]) <= 2 * langid.CELLS
+
+
 # -------------------------------------------------------------------------------------------- embeddings
 
 
@@ -463,8 +498,17 @@ def test_embedding_links(spark):
     assert linked_vectors(df.limit(0)).count() == 0
 
 
+def test_embedding_components_follow_vectors_not_ids(spark):
+    from lumenreel.llm.binary_codes import linked_vectors
+
+    turn = lambda degrees: [float(np.cos(np.radians(degrees))), float(np.sin(np.radians(degrees)))]
+    rows = [(2, turn(0)), (None, turn(15)), (1, turn(30)), (7, turn(90)), (7, turn(180)), (3, turn(195))]  # cos 15 degrees > 0.95 > cos 30
+    got = linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in got) == [("1", 1, 1, True), ("2", 1, 1, False), ("3", 1, 3, True), ("7", 0, 7, True), ("7", 1, 3, False), ("None", 2, 1, False)]
+
+
 def test_pairs_at_the_threshold_meet_at_any_size():
-    from lumenreel.llm.binary_codes import shape_of_tables, table_keys
+    from lumenreel.llm.binary_codes import encode, shape_of_tables, table_keys
 
     rng = np.random.default_rng(12)
     x, y = rng.standard_normal((2, 4000, 64))
@@ -473,26 +517,32 @@ def test_pairs_at_the_threshold_meet_at_any_size():
     y = 0.95 * x + np.sqrt(1 - 0.95**2) * y / np.linalg.norm(y, axis=1)[:, None]
     for n in (5_000, 1_000_000, 50_000_000):
         shape = shape_of_tables(n)
-        met = (table_keys(x, *shape) == table_keys(y, *shape)).any(1)
+        met = (table_keys(encode(x, *shape)[0], *shape) == table_keys(encode(y, *shape)[0], *shape)).any(1)
         assert met.mean() > 0.999, (n, shape)
 
 
-def test_estimates_are_unbiased_and_within_their_bounds():
-    from lumenreel.llm.binary_codes import SURE, rotations
+def test_estimates_are_unbiased_and_within_their_bounds(monkeypatch):
+    from lumenreel.llm import binary_codes as b
 
     rng = np.random.default_rng(0)
-    dim = 64
-    x = rng.standard_normal(dim)
-    y = 0.9 * x / np.linalg.norm(x) + 0.2 * rng.standard_normal(dim) / 8
-    x, y = x / np.linalg.norm(x), y / np.linalg.norm(y)
-    error, inside = [], []
-    for turn in rotations(dim, 300, seed=1):
-        a, b = turn @ x, turn @ y
-        code = np.where(a > 0, 1, -1) / np.sqrt(dim)
-        factor = a @ code
-        error.append(code @ b / factor - x @ y)
-        inside.append(abs(error[-1]) <= SURE * np.sqrt(1 - factor**2) / factor / np.sqrt(dim - 1))
-    assert abs(np.mean(error)) < 0.01 and np.mean(inside) == 1
+    x, y = rng.standard_normal((2, 400, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y -= np.einsum("ij,ij->i", x, y)[:, None] * x
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    for cosine in (0.0, 0.7, 0.95):
+        error, inside = [], []
+        for seed in range(5):
+            monkeypatch.setattr(b, "rotations", lambda dim, count, seed=seed, make=b.rotations: make(dim, count, seed + 100))
+            both = np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * y])
+            found, bound = b.estimates(*b.encode(both, 9, 20), 64, np.arange(400), np.arange(400, 800), 0.95)
+            monkeypatch.undo()
+            error.append(np.diag(found) - cosine)
+            inside.append(np.diag(found + bound) >= cosine)
+        assert abs(np.mean(error)) < 0.006, (cosine, np.mean(error))
+        if cosine == 0.95:
+            assert np.mean(inside) > 0.999
+        if cosine == 0.0:
+            assert np.mean(np.diag(found + bound) >= 0.95) < 0.01  # hardly any pair is recomputed for nothing
 
 
 # --------------------------------------------------------------------------------------------- toxicity
