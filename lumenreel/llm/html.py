@@ -11,7 +11,8 @@ The model is trained on pages made by :func:`training_page` (seeded; no input is
 Results for odd input
     null or empty html: empty text.  No markup: the whole text.  Unclosed or stray tags: elements end where their parent
     ends, or where the next of their kind begins (p, li, td and so on).  null page_id or url: passed through.  Repeated
-    rows: one result each.  Very long pages: work is linear.  Other columns are not read.
+    rows: one result each.  Very long pages, deep nesting, thousands of unclosed tags: work is linear but for a sort.  Empty table: no
+    rows.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,12 +32,20 @@ from lumenreel.llm.boost import BoostedTrees
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role|itemprop|aria-label|data-[a-z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Behind the last '>': an unclosed comment or declaration.
+TAIL = re.compile(r"<[!?].*", re.S)
+#: Rows of features that are held at once.
+ROWS = 50_000
 RAW = frozenset("script style textarea title noscript template iframe xmp svg math select".split())
 HIDDEN = frozenset("head script style title noscript template textarea select option button input object iframe svg math".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img".split())
 #: An opening tag of the key ends open elements of the values (up to the barrier).
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
+CLOSABLE = frozenset().union(*ENDS.values())
 BARRIER = frozenset("ul ol dl table body html article section main div nav aside footer header form".split())
+#: Elements, besides these, inside which a paragraph outside stays open.
+KEEPS_PARAGRAPH = frozenset(("td", "th", "li", "button"))
+RAW_END = {name: re.compile(f"</{name}", re.I) for name in RAW}
 #: Words of class, id and role, by what they point to.
 CUES = (
     frozenset("article post entry story content main maincontent text articlebody postbody entrycontent prose body news blog".split()),
@@ -95,6 +104,12 @@ class Pages:
         names = ["#root"]
         stack = [root]
         kind, parent, depth, end, cues, hidden, pages = self.kind, self.parent, self.depth, self.end, self.cues, self.hidden, self.page
+        # so that no tag looks through the open elements: where each name is open, where blocks are, per open element the
+        # paragraph that a block ends there, and per barrier where the names that ENDS closes are open since
+        open_at: dict[str, list[int]] = {}
+        blocks: list[int] = []
+        paragraph = [0]
+        scopes: list[dict[str, list[int]]] = [{}]
 
         def push(name: str, attributes: str) -> int:
             at = len(kind)
@@ -127,67 +142,82 @@ class Pages:
             while len(stack) > to:
                 k = stack.pop()
                 end[k] = len(kind)
-                if names.pop() == "a":
+                name = names.pop()
+                if not names:
+                    break
+                paragraph.pop()
+                open_at[name].pop()
+                if name in BARRIER:
+                    scopes.pop()
+                elif name in CLOSABLE:
+                    scopes[-1][name].pop()
+                if name not in INLINE:
+                    blocks.pop()
+                if name == "a":
                     links -= 1
 
-        scan = TAG.search
+        last = source.rfind(">") + 1  # behind it only comments and declarations can begin
         while True:
-            m = scan(source, at)
+            m = TAG.search(source, at, last) if at < last else TAIL.search(source, at)
             if not m:
+                if at >= last:
+                    break
+                tail = TAIL.search(source, last)
+                if tail:
+                    text(at, tail.start())
+                    at = len(source)
                 break
             text(at, m.start())
             at = m.end()
-            name = m[2] or m[5]
+            name = m[2] or m[5] if m.re is TAG else None
             if not name:
+                if at >= last and m[0].startswith("<!--") and not m[0].endswith("-->"):
+                    at = len(source)
                 continue
             name = name.lower()
+            inline = name in INLINE
             if m[1] or m[4]:
-                if name not in INLINE:
+                if not inline:
                     broken = True
-                if name in names:
-                    k = len(names) - 1
-                    while names[k] != name:
-                        k -= 1
-                    # an inline end tag doesn't close blocks that began inside it
-                    if name not in INLINE or all(x in INLINE for x in names[k + 1 :]):
-                        if k:
-                            close(k)
+                k = open_at[name][-1] if open_at.get(name) else 0
+                # an inline end tag doesn't close blocks that began inside it
+                if k and not (inline and blocks and blocks[-1] > k):
+                    close(k)
                 continue
-            if name not in INLINE:
+            if not inline:
                 broken = True
                 ends = ENDS.get(name)
                 if ends:
-                    k = len(names) - 1
-                    first = 0
-                    while k > 0 and names[k] not in BARRIER:
-                        if names[k] in ends:
-                            first = k
-                        k -= 1
+                    first = min((scopes[-1][x][0] for x in ends if scopes[-1].get(x)), default=0)
                     if first:
                         close(first)
-                elif "p" in names and name not in VOID:
-                    k = len(names) - 1
-                    while k > 0 and names[k] not in BARRIER and names[k] not in ("td", "th", "li", "button"):
-                        if names[k] == "p":
-                            close(k)
-                            break
-                        k -= 1
-                if name == "body" and "head" in names:
-                    close(names.index("head"))
+                elif paragraph[-1] and name not in VOID:
+                    close(paragraph[-1])
+                if name == "body" and open_at.get("head"):
+                    close(open_at["head"][0])
             k = push(name, m[3] or m[6] or "")
             if name in VOID or (m[3] or "").endswith("/") and name not in TAGS:
                 end[k] = k + 1
                 continue
             if name in RAW:
-                stop = re.compile(f"</{name}", re.I).search(source, at)
+                stop = RAW_END[name].search(source, at)
                 at = stop.start() if stop else len(source)
                 end[k] = k + 1
                 if stop:
                     after = source.find(">", at)
                     at = len(source) if after < 0 else after + 1
                 continue
+            place = len(stack)
             stack.append(k)
             names.append(name)
+            open_at.setdefault(name, []).append(place)
+            paragraph.append(place if name == "p" else 0 if name in BARRIER or name in KEEPS_PARAGRAPH else paragraph[-1])
+            if name in BARRIER:
+                scopes.append({})
+            elif name in CLOSABLE:
+                scopes[-1].setdefault(name, []).append(place)
+            if not inline:
+                blocks.append(place)
             if name == "a":
                 links += 1
         text(at, len(source))
@@ -207,7 +237,7 @@ class Pages:
         }
 
 
-def features(pages: Pages, a: dict[str, np.ndarray]) -> np.ndarray:
+def features(pages: Pages, a: dict[str, np.ndarray]) -> Features:
     """A row for each element."""
     n = len(a["kind"])
     length = np.array([len(t) - t.count(" ") for t in pages.texts] or [0], float)[: len(pages.texts)]
@@ -240,23 +270,44 @@ def features(pages: Pages, a: dict[str, np.ndarray]) -> np.ndarray:
     pair = up * 64 + a["kind"]
     _, inverse, counts = np.unique(pair, return_inverse=True, return_counts=True)
     alike = counts[inverse] / np.maximum(1, siblings)
-    cue = [(a["cues"] >> k & 1).astype(float) for k in range(len(CUES))]
-    kinds = [(a["kind"] == k).astype(float) for k in range(KINDS)]
-    passed = np.stack([*cue, *[kinds[k] for k in PASSED]], 1)
-    from_above = np.zeros_like(passed)
-    levels = _levels(a["depth"])
-    for level in levels[1:]:
-        p = a["parent"][level]
-        from_above[level] = np.maximum(from_above[p], passed[p])
-    inside = np.zeros_like(passed)  # what children say of their parent
-    for level in levels[:0:-1]:
-        np.maximum.at(inside, a["parent"][level], np.maximum(inside[level], passed[level]))
+    passed = a["cues"] | sum((a["kind"] == k).astype(np.int64) << (len(CUES) + n_) for n_, k in enumerate(PASSED))
+    from_above, inside = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for bit in range(len(CUES) + len(PASSED)):
+        has = (passed >> bit & 1).astype(np.int32)
+        from_above |= (_open(has, a["end"]) > 0).astype(np.int64) << bit
+        total = np.concatenate([[0], np.cumsum(has)])
+        inside |= (total[a["end"]] - total[1:] > 0).astype(np.int64) << bit  # what is below says of an element
     columns = [
         np.log1p(own), np.log1p(text), linked / np.maximum(1, text), marked / np.maximum(1, text), text / count, np.log1p(count),
         a["depth"].astype(float), before / whole, text / whole, np.log1p(siblings), np.log1p(sibling_text), np.log1p(earlier), np.log1p(later),
         alike, paragraphs, anchors, np.log1p(text / np.maximum(1, paragraphs)), text[up] / whole, linked[up] / np.maximum(1, text[up]),
     ]
-    return np.stack([*columns, *cue, *kinds, *from_above.T, *inside.T], 1)
+    return Features(columns, a["cues"], a["kind"], from_above, inside)
+
+
+class Features:
+    """Features of all elements; rows of them are made a block at a time, so that memory is a few numbers an element."""
+
+    def __init__(self, columns: list[np.ndarray], cues: np.ndarray, kind: np.ndarray, from_above: np.ndarray, inside: np.ndarray) -> None:
+        self.columns, self.cues, self.kind, self.from_above, self.inside = columns, cues, kind, from_above, inside
+
+    def __len__(self) -> int:
+        return len(self.kind)
+
+    def rows(self, lo: int = 0, hi: int | None = None) -> np.ndarray:
+        s = slice(lo, len(self) if hi is None else hi)
+        flags = np.arange(len(CUES) + len(PASSED))
+        parts = [np.stack([c[s] for c in self.columns], 1)]
+        parts += [(self.cues[s, None] >> np.arange(len(CUES)) & 1), self.kind[s, None] == np.arange(KINDS)]
+        parts += [self.from_above[s, None] >> flags & 1, self.inside[s, None] >> flags & 1]
+        return np.concatenate([x.astype(float) for x in parts], 1)
+
+
+def _open(has: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Of each element: how many of its ancestors have a mark."""
+    marked = np.flatnonzero(has)
+    steps = np.bincount(marked + 1, minlength=len(has) + 1) - np.bincount(end[marked], minlength=len(has) + 1)
+    return np.cumsum(steps)[: len(has)]
 
 
 def _levels(depth: np.ndarray) -> list[np.ndarray]:
@@ -270,26 +321,33 @@ def decode(logit: np.ndarray, a: dict[str, np.ndarray]) -> np.ndarray:
     keep = np.where(a["hidden"], -1e9, keep)
     keep[a["parent"] < 0] = 0.0
     drop[a["parent"] < 0] = -1e9
-    all_drop, best = drop.copy(), keep.copy()
-    levels = _levels(a["depth"])
-    for level in levels[:0:-1]:
-        p = a["parent"][level]
-        np.add.at(best, p, np.maximum(best[level], all_drop[level]))
-        np.add.at(all_drop, p, all_drop[level])
+    all_drop, best, parent = drop.copy(), keep.copy(), a["parent"]
+    if a["depth"].max(initial=0) * 16 > len(parent):  # deep and thin: one element at a time is cheaper than one level
+        up, held, low = parent.tolist(), best.tolist(), all_drop.tolist()
+        for k in range(len(up) - 1, -1, -1):  # children stand behind their parents
+            if up[k] >= 0:
+                held[up[k]] += max(held[k], low[k])
+                low[up[k]] += low[k]
+        best, all_drop = np.array(held), np.array(low)
+    else:
+        for level in _levels(a["depth"])[:0:-1]:
+            p = parent[level]
+            np.add.at(best, p, np.maximum(best[level], all_drop[level]))
+            np.add.at(all_drop, p, all_drop[level])
     out = best >= all_drop
-    for level in levels[1:]:
-        out[level] &= out[a["parent"][level]]
-    return out
+    return out & (_open(~out, a["end"]) == 0)
 
 
 def main_texts(sources: list[str], model: BoostedTrees) -> list[str]:
+    if not sources:
+        return []
     pages = Pages()
     for s in sources:
         pages.add(s)
-    if not sources:
-        return []
     a = pages.arrays()
-    kept = decode(model.logit(features(pages, a)), a)
+    found = features(pages, a)
+    logit = [model.logit(found.rows(lo, min(len(found), lo + ROWS))) for lo in range(0, len(found), ROWS)]
+    kept = decode(np.concatenate(logit), a)
     parts: list[list[str]] = [[] for _ in sources]
     page_of, gap = a["page"].tolist(), True
     last = -1
@@ -390,7 +448,7 @@ def training_page(rng: np.random.Generator) -> str:
         return "\n".join(out) if yes(0.4) else "".join(out)
 
     def advert() -> str:
-        return box(("ad", "ads", "advert", "sponsored", "promo", "ad-slot", "adbox"), "div", pick(sentences(1, 3), link(words(2, 8)), f"<p>{sentences(1, 3)}</p>"), 0.0) if yes(0.8) else f'<div class="ad">{sentences(1, 3)}</div>'
+        return box(("ad", "ads", "advert", "sponsored", "promo", "ad-slot", "adbox"), pick("div", "aside", "section"), pick(sentences(1, 3), link(words(2, 8)), f"<p>{sentences(1, 3)}</p>"), 0.0) if yes(0.8) else f'<div class="ad">{sentences(1, 3)}</div>'
 
     def comments() -> str:
         one = lambda: pick("<li>{}</li>", '<div class="comment"><b>{}</b><p>{}</p></div>', "<p>{}</p>", "<div>{}</div>").format(words(1, 3), sentences(1, 4))
@@ -461,7 +519,7 @@ def trained(pages: int = 1100, seed: int = 5) -> BoostedTrees:
     size = np.concatenate([[0.0], np.cumsum(np.bincount(a["owner"], [len(t.strip()) for t in found.texts], n))])
     use = ~a["hidden"] & (a["parent"] >= 0) & (size[a["end"]] - size[:-1] > 0)
     nodes = np.bincount(a["page"][use], minlength=pages)
-    return BoostedTrees().fit(features(found, a)[use], label[use], np.minimum(4.0, 40.0 / nodes[a["page"][use]]))  # short pages count too
+    return BoostedTrees().fit(features(found, a).rows()[use], label[use], np.minimum(4.0, 40.0 / nodes[a["page"][use]]))  # short pages count too
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -206,6 +206,59 @@ def test_main_text_on_made_up_pages():
     assert np.mean(score) > 0.9
 
 
+#: Written by hand, in the manner of several kinds of sites: page, main text.
+WRITTEN = [
+    (
+        "<!DOCTYPE html><html lang=en><head><title>Harbour reopens | The Daily</title><script>var x = '<p>no</p>';</script></head><body>"
+        "<header class='site-header'><a href='/'>The Daily</a><nav><ul><li><a href='/world'>World</a></li><li><a href='/sport'>Sport</a></li></ul></nav></header>"
+        "<main><article class='post'><h1>Harbour reopens after storm</h1>"
+        "<p>The harbour opened again on Tuesday, two weeks after a storm had damaged its main wall.</p>"
+        "<p>Fishermen said they had lost <em>most of a season</em>, and the town has asked for help.</p>"
+        "<aside class='ad'>Buy shoes now! Half price.</aside>"
+        "<p>Repairs of the wall will go on until the end of the year &mdash; at least.</p></article>"
+        "<section id='comments'><h2>Comments</h2><div class='comment'><p>Glad to hear it, greetings from the north.</p></div></section></main>"
+        "<footer><p>&copy; The Daily. All rights reserved.</p></footer></body></html>",
+        "Harbour reopens after storm The harbour opened again on Tuesday, two weeks after a storm had damaged its main wall. Fishermen said they had lost most of a season, and the town has asked for help. Repairs of the wall will go on until the end of the year \u2014 at least.",
+    ),
+    (
+        "<html><body><div id=\"top-menu\"><a href=a>Start</a> | <a href=b>Archive</a> | <a href=c>About</a></div><div class=\"cookie-notice\">This site uses cookies. <button>OK</button></div>"
+        "<div class=\"content\"><h2>How to dry herbs</h2><p>Cut the herbs in the morning, when the dew is gone, and tie them in small bunches."
+        "<p>Hang them up in a dark and airy place.<br>After two weeks they are dry.<ul><li>Basil takes longer than thyme does.<li>Mint should be turned every day.</ul>"
+        "<p>Keep them in jars that close well, away from light.</div><div class=\"sidebar\"><h3>Popular</h3><ul><li><a href=d>Jam</a><li><a href=e>Bread</a></ul></div>"
+        "<div id=footer>Imprint | Contact</div></body></html>",
+        "How to dry herbs Cut the herbs in the morning, when the dew is gone, and tie them in small bunches. Hang them up in a dark and airy place. After two weeks they are dry. Basil takes longer than thyme does. Mint should be turned every day. Keep them in jars that close well, away from light.",
+    ),
+    (
+        "<body><nav class=breadcrumbs><a href=/>Home</a> &gt; <a href=/news>News</a></nav><div class=wrapper><div class='entry-content'><h1>Neue Br&uuml;cke eingeweiht</h1>"
+        "<p>Am Samstag wurde die neue Br&uuml;cke &uuml;ber den Fluss eingeweiht, viele Menschen kamen zum Fest.</p><blockquote><p>Wir haben lange darauf gewartet.</p></blockquote>"
+        "<p>Der Bau dauerte vier Jahre und kostete mehr als geplant war.</p></div><form class=newsletter><label>E-Mail</label><input name=mail><button>Abonnieren</button></form></div>"
+        "<footer class=legal>Impressum Datenschutz</footer>",
+        "Neue Br\u00fccke eingeweiht Am Samstag wurde die neue Br\u00fccke \u00fcber den Fluss eingeweiht, viele Menschen kamen zum Fest. Wir haben lange darauf gewartet. Der Bau dauerte vier Jahre und kostete mehr als geplant war.",
+    ),
+]
+
+
+def test_main_text_of_pages_written_by_hand():
+    from lumenreel.llm import html
+
+    got = html.main_texts([page for page, _ in WRITTEN], html.trained())
+    assert got == [text for _, text in WRITTEN]
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    from lumenreel.llm import html
+
+    model, n = html.trained(), 150_000
+    pages = ["<a " * n, "<p>x</p>" + "<a " * n, "<div>" * n, "<div>" * (n // 2) + "<td>x" * (n // 2), "<b>" + "<div>" * n + "</b>" * n, "<p><button>" + "<div>x" * n, "<a b=\"" * n + ">", "<!--" * n, "<li><span>" * n, "<select>" * n, "</p>" * n]
+    html.main_texts(pages[:1], model)
+    for page in pages:
+        start = time.process_time()
+        html.main_texts([page], model)
+        assert time.process_time() - start < 25, page[:20]  # a quadratic parse takes minutes
+
+
 def test_decoding_never_contradicts_itself():
     from lumenreel.llm import html
 
