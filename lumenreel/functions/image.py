@@ -24,7 +24,7 @@ def luma(rgb: np.ndarray, kind: str = "bt601") -> np.ndarray:
 
 def row_profile(band: np.ndarray, segments: int = 16, hpad: int = 40) -> np.ndarray:
     """Per row the means of ``segments`` equal stretches; columns that don't fill a stretch at the right are left out."""
-    g = luma(band, "mean")
+    g = luma(band)
     g = g[:, hpad : g.shape[1] - hpad] if g.shape[1] > 2 * hpad else g
     size = g.shape[1] // segments
     if size <= 0:
@@ -33,7 +33,7 @@ def row_profile(band: np.ndarray, segments: int = 16, hpad: int = 40) -> np.ndar
 
 
 def col_profile(band: np.ndarray, vpad: int = 0) -> np.ndarray:
-    g = luma(band, "mean")
+    g = luma(band)
     return (g[vpad : len(g) - vpad] if len(g) > 2 * vpad else g).mean(0).astype(np.float32)
 
 
@@ -41,7 +41,7 @@ def match_1d(ref: np.ndarray, cur: np.ndarray, predicted: int = 0, radius: int =
     """Offset p for which ``cur[r]`` looks like ``ref[r + p]``: (p, sad, confidence, overlap).
 
     The smallest mean absolute difference (plus ``alpha`` per step from the prediction) wins, the lowest p of equals;
-    confidence is the best score more than 3 steps away over the winner's.  Without a candidate: the lowest p, sad infinite.
+    confidence is the best score more than 3 steps away over the winner's (1 if there is none).  Without a candidate: the lowest p, sad infinite.
     """
     ref, cur = (np.atleast_2d(x.T).T.astype(np.float64) for x in (ref, cur))
     h, width = len(cur), cur.shape[1]
@@ -57,7 +57,8 @@ def match_1d(ref: np.ndarray, cur: np.ndarray, predicted: int = 0, radius: int =
     if not np.isfinite(scores[best]):
         return offsets[0], float("inf"), float("nan"), 0
     away = np.abs(np.arange(len(scores)) - best) > 3
-    second = scores[away].min() if away.any() else np.inf
+    second = scores[away & np.isfinite(scores)].min(initial=np.inf)
+    second = second if np.isfinite(second) else scores[best]  # nothing else to compare with
     return offsets[best], float(sads[best]), float(np.inf if scores[best] <= 1e-6 else second / scores[best]), int(overlaps[best])
 
 
@@ -365,19 +366,10 @@ def diffuse_fill(rgb: np.ndarray, hole: np.ndarray, radius: int = 3) -> np.ndarr
     return np.rint(out).astype(rgb.dtype)
 
 
-def alpha_dilate(rgba: np.ndarray, times: int = 2) -> np.ndarray:
-    """Transparent pixels beside opaque ones take a neighbour's colour and become opaque, ``times`` rings."""
+def grow_holes(rgba: np.ndarray, times: int = 2) -> np.ndarray:
+    """Pixels beside transparent ones become transparent (and black) too, ``times`` rings."""
     out = rgba.copy()
-    for _ in range(times):
-        solid = out[:, :, 3] > 0
-        grown = dilate_cross(solid, 1) & ~solid
-        for dy, dx in ((1, 0), (-1, 0), (0, 1), (0, -1)):
-            source = _shifted(solid, dy, dx) & grown
-            if source.any():
-                y, x = np.nonzero(source)
-                out[y, x] = out[y - dy, x - dx]
-                out[y, x, 3] = 255
-                grown &= ~source
+    out[dilate_cross(out[:, :, 3] == 0, times)] = 0
     return out
 
 

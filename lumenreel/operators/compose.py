@@ -53,7 +53,7 @@ def compose(lines: DataFrame, policy: str = "median", tolerance: int = 16) -> Da
     """Canvas rows of :data:`CANVAS`: per pixel the truncated mean of the clean samples; where all samples are masked, by
     ``policy`` their truncated median (``median``), that only if two or more lie within the tolerance
     (``variance-gate``), or nothing (``hard-skip``).  Pixels without a colour are transparent."""
-    if policy not in ("median", "variance-gate", "hard-skip"):
+    if policy not in ("median", "variance-gate", "variance-gate-dilated", "hard-skip"):
         raise ValueError(f"unknown policy {policy}")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -67,7 +67,7 @@ def compose(lines: DataFrame, policy: str = "median", tolerance: int = 16) -> Da
             known = count > 0
             if policy != "hard-skip":
                 hole = ~known
-                if policy == "variance-gate":
+                if policy.startswith("variance-gate"):
                     hole &= (np.ptp(px, axis=0).max(1) <= tolerance) & (len(px) >= 2)
                 colour[hole] = np.median(px[:, hole], axis=0)
                 known = known | hole
@@ -112,8 +112,9 @@ def fix_seams(canvas: DataFrame, same: int = 18, differs: int = 36, pad: int = 6
     return halo_pass(canvas, lambda x: image.fix_seams(x, same, differs, pad, times), times + 1)
 
 
-def dilate_alpha(canvas: DataFrame, times: int = 2) -> DataFrame:
-    return halo_pass(canvas, lambda x: image.alpha_dilate(x, times), times)
+def grow_holes(canvas: DataFrame, times: int = 2) -> DataFrame:
+    """Isolated rejected pixels merge into whole holes."""
+    return halo_pass(canvas, lambda x: image.grow_holes(x, times), times)
 
 
 def fill_holes(canvas: DataFrame, radius: int = 3, halo: int = 32) -> DataFrame:

@@ -74,10 +74,11 @@ def motion(marks: DataFrame, radius: int = 400, min_overlap: int | None = None,
     return pairs.mapInPandas(run, "video_id string, i long, dy int, mad double, conf double, overlap int, dx int")
 
 
-def static_bands(frames: DataFrame, threshold: float = 12.0, min_run: int = 16) -> DataFrame:
-    """video_id, top, bottom: the widest stretch of rows whose brightness changes over the (sampled) frames.
+def static_bands(frames: DataFrame, threshold: float = 12.0, min_run: int = 16, least: int = 32) -> DataFrame:
+    """video_id, top, bottom: the widest stretch of rows whose mean brightness changes over the (sampled) frames.
 
-    Each frame becomes per-row sums; variances follow from sums and squares, so nothing is gathered per recording.
+    The whole frame if no stretch has ``min_run`` rows, if the widest has fewer than ``least``, or of a single frame.
+    Each frame becomes a number a row; spreads follow from partial aggregation, so nothing is gathered per recording.
     """
     from lumenreel.operators.series import widest_run
 
@@ -86,16 +87,15 @@ def static_bands(frames: DataFrame, threshold: float = 12.0, min_run: int = 16)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples():
-                grey = image.luma(band_of(row), "mean")
-                # a row's columns are reduced to 16 stretches, whose spread over time is averaged
-                marks = image.row_profile(grey, 16, 0).astype(np.float64)
-                y, k = np.indices(marks.shape)
-                yield pd.DataFrame({"video_id": row.video_id, "y": y.ravel(), "k": k.ravel(), "v": marks.ravel()})
-
-    cells = frames.select("video_id", "i", "h", "w", "pix_fmt", "data").mapInPandas(run, "video_id string, y long, k int, v double")
-    spread = cells.groupBy("video_id", "y", "k").agg(F.stddev_pop("v").alias("s")).groupBy("video_id", "y").agg(F.max("s").alias("s"))
-    found = widest_run(spread, ["video_id"], F.col("s") > threshold, "y", min_run)
-    return found.select("video_id", F.col("start").cast("int").alias("top"), F.col("end").cast("int").alias("bottom"))
+                mean = image.luma(band_of(row)).mean(1).astype(np.float64)
+                yield pd.DataFrame({"video_id": row.video_id, "y": np.arange(len(mean)), "v": mean})
+
+    cells = frames.select("video_id", "i", "h", "w", "pix_fmt", "data").mapInPandas(run, "video_id string, y long, v double")
+    spread = cells.groupBy("video_id", "y").agg(F.stddev_pop("v").alias("s"))
+    found = widest_run(spread, ["video_id"], F.col("s") > threshold, "y", max(min_run, least))
+    whole = frames.groupBy("video_id").agg(F.max("h").alias("h"))
+    out = whole.join(found.select("video_id", "start", "end"), "video_id", "left")
+    return out.select("video_id", F.coalesce("start", F.lit(0)).cast("int").alias("top"), F.coalesce("end", "h").cast("int").alias("bottom"))
 
 
 def overlay_masks(frames: DataFrame, share: float = 0.6, tolerance: float = 12, grow: int = 2, min_area: int = 30, rows: int = 32) -> DataFrame:

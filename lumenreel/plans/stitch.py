@@ -56,5 +56,5 @@ def rescue(placed: DataFrame, moves: DataFrame, height: int, disc_y: int, disc_r
 def stitch(frames: DataFrame, placed: DataFrame, masks: DataFrame | None = None, policy: str = "median", seams: bool = True) -> DataFrame:
     """Canvas rows of all placements."""
     canvas = compose.compose(compose.scanlines(frames, placed, masks), policy)
-    canvas = compose.dilate_alpha(canvas) if policy != "median" else canvas
+    canvas = compose.grow_holes(canvas) if policy == "variance-gate-dilated" else canvas
     return compose.fix_seams(canvas) if seams else canvas

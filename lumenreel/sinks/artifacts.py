@@ -97,20 +97,22 @@ def frame_images(frames: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def with_header_and_footer(canvas: DataFrame, frames: DataFrame, top: int, bottom: int, mode: str = "keep-once") -> DataFrame:
-    """Canvas rows with the static parts of a recording's first frame before and after them (``keep-once``), or as they are
-    (``strip``).  frames: full height."""
+    """Canvas rows with the static head of a recording's first frame before them and the static foot of its last frame after
+    them (``keep-once``), or as they are (``strip``).  frames: full height."""
     from lumenreel.operators import compose
 
     if mode == "strip":
         return canvas
     if mode != "keep-once":
         raise ValueError(f"unknown mode {mode}")
-    first = frames.where("i = 0")
-    lines = compose.compose(compose.scanlines(first, first.select("video_id", "i", F.lit(0).cast("long").alias("abs_y"))))
     ends = canvas.groupBy("video_id").agg(F.min("canvas_y").alias("lo"), F.max("canvas_y").alias("hi"))
-    lines = lines.join(ends, "video_id")
-    head = lines.where(F.col("canvas_y") < top).withColumn("canvas_y", F.col("lo") - top + F.col("canvas_y"))
-    foot = lines.where(F.col("canvas_y") >= bottom).withColumn("canvas_y", F.col("hi") + 1 + F.col("canvas_y") - bottom)
+    last = frames.groupBy("video_id").agg(F.max("i").alias("i"))
+
+    def lines(one: DataFrame) -> DataFrame:
+        return compose.compose(compose.scanlines(one, one.select("video_id", "i", F.lit(0).cast("long").alias("abs_y")))).join(ends, "video_id")
+
+    head = lines(frames.where("i = 0")).where(F.col("canvas_y") < top).withColumn("canvas_y", F.col("lo") - top + F.col("canvas_y"))
+    foot = lines(frames.join(last, ["video_id", "i"], "left_semi")).where(F.col("canvas_y") >= bottom).withColumn("canvas_y", F.col("hi") + 1 + F.col("canvas_y") - bottom)
     return canvas.unionByName(head.select(*canvas.columns)).unionByName(foot.select(*canvas.columns))
 
 

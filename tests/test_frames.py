@@ -1,6 +1,7 @@
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from scroll import FOOTER, HEADER, HEIGHT, WIDTH, page, recording
@@ -46,10 +47,41 @@ def test_crop_of_rows_agrees_with_the_source(spark, folder):
 
 
 def test_static_bands(spark, folder):
-    rows = fr.static_bands(screenrec.read_frames(spark, folder)).collect()
+    rows = fr.static_bands(screenrec.read_frames(spark, folder), threshold=4).collect()  # noise: the mean of a row hardly changes
     assert {(r.video_id, r.top, r.bottom) for r in rows} == {("v1", HEADER, HEIGHT - FOOTER), ("v2", HEADER, HEIGHT - FOOTER)}
 
 
+def test_static_bands_fall_back_to_the_whole_frame(spark, folder):
+    few = screenrec.read_frames(spark, folder).where("i = 0")
+    assert {(r.top, r.bottom) for r in fr.static_bands(few).collect()} == {(0, HEIGHT)}
+    low = fr.crop(screenrec.read_frames(spark, folder), HEADER - 4, HEADER + 20)
+    assert {(r.top, r.bottom) for r in fr.static_bands(low, threshold=4).collect()} == {(0, 24)}
+
+
+def test_frames_are_matched_against_the_growing_canvas(spark, folder, tmp_path):
+    from lumenreel.streaming import placing
+
+    marks = fr.signatures(fr.crop(screenrec.read_frames(spark, folder), HEADER, HEIGHT - FOOTER), 8, 4).cache()
+    options = {"radius": 20, "first_radius": 40, "dx_radius": 10}
+    got = placing.stitch_batch(marks, "video_id", BAND, **options).orderBy("video_id", "i").toPandas()
+    steps = recording(1)[1]
+    mine = got[got.video_id == "v1"]
+    assert mine.dy.tolist() == steps.tolist() and mine.y_top.tolist() == np.cumsum(steps).tolist()
+    assert set(mine.frame_class) == {"first", "normal", "stationary"} and mine.new_rows.sum() == BAND + np.cumsum(steps).max()
+    rows, source = marks.toPandas(), tmp_path / "in"
+    source.mkdir()
+    for k, part in enumerate((rows[rows.i < 9], rows[rows.i >= 9])):
+        spark.createDataFrame(part, marks.schema).coalesce(1).write.mode("append").parquet(str(source / f"p{k}"))
+    stream = spark.readStream.schema(marks.schema).option("maxFilesPerTrigger", 1).parquet(str(source / "p*"))
+    out = placing.stitch_stream(stream, "video_id", BAND, **options).writeStream.format("memory").queryName("stitched").outputMode("append").start()
+    try:
+        out.processAllAvailable()
+        streamed = spark.table("stitched").orderBy("video_id", "i").toPandas()
+    finally:
+        out.stop()
+    pd.testing.assert_frame_equal(streamed, got)
+
+
 def test_motion_pauses_and_keyframes(found):
     steps = recording(1)[1]
     got = [r.dy for r in found[1]["motion"].where("video_id = 'v1'").orderBy("i").collect()]

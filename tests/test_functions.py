@@ -85,9 +85,13 @@ def test_fills():
     seam = np.full((9, 30, 3), 100, np.uint8)
     seam[4] = 10
     assert (image.fix_seams(seam)[4, 6:-6] == 100).all() and (image.fix_seams(seam)[4, 0] == 10).all()
-    rgba = np.zeros((5, 5, 4), np.uint8)
-    rgba[2, 2] = 255
-    assert (image.alpha_dilate(rgba, 1)[:, :, 3] > 0).sum() == 5
+    rgba = np.full((9, 9, 4), 255, np.uint8)
+    rgba[4, 4] = 0
+    assert (image.grow_holes(rgba, 1)[:, :, 3] == 0).sum() == 5 and (image.grow_holes(rgba, 2) == 0).all(2).sum() == 13
+    red = np.zeros((4, 8, 3), np.uint8)
+    red[:, :, 0] = 200
+    assert np.allclose(image.row_profile(red, 2, 0), 59.8) and np.allclose(image.col_profile(red), 59.8)
+    assert image.match_1d(np.arange(60.0), np.arange(60.0) + 0.5, 0, 2, 50)[2] == 1.0  # no other place more than three steps away
     assert image.dense_columns(bad) == [(2, 4)]
     assert image.background(np.array([[[1, 2, 3], [1, 2, 3], [9, 9, 9]]], np.uint8)) == (1, 2, 3)
 

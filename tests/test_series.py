@@ -70,6 +70,9 @@ def _frames(spark):
 def test_placing_classes(spark):
     got = placing.place_batch(_frames(spark), "video_id", height=100).orderBy("i").collect()
     assert [(r.frame_class, r.y_top, r.new_rows) for r in got] == [("first", 0, 100), ("normal", 5, 5), ("stationary", 5, 0), ("normal", 55, 50), ("normal", 35, 0), ("normal", -55, 55), ("suspect", -55, 0)]
+    assert [r.dy for r in got] == [0, 5, 0, 50, -20, -90, 0]  # what doesn't move the canvas has no motion
+    rim = placing.place_batch(_frames(spark), "video_id", height=100, edge=60).orderBy("i").collect()
+    assert [r.frame_class for r in rim] == ["first", "normal", "stationary", "normal", "edge_hit", "edge_hit", "edge_hit"]  # 50 was expected again
 
 
 def test_stream_and_batch_agree(spark, tmp_path):
