@@ -292,8 +292,8 @@ def brightness_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {MOTION} SELECT round(quantile_cont(abs(dv), 0.99), 6) AS cap, round(ln(1 + quantile_cont(abs(dv), 0.99)), 6) AS log_cap FROM m")
 def heat_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cap = F.percentile("mad", 0.99)
-    return _motion(spark, sf_dir).agg(F.round(cap, 6).alias("cap"), F.round(F.log1p(cap), 6).alias("log_cap"))
+    cap = votes.exact_quantile(_motion(spark, sf_dir), "mad", 0.99)
+    return spark.range(1).select(F.round(cap, 6).alias("cap"), F.round(F.log1p(cap), 6).alias("log_cap"))
 
 
 @query("""WITH f AS (SELECT event_id AS i, user_id, CAST(20 + value AS DOUBLE) AS luma FROM events), d AS (SELECT user_id, i, luma FROM f WHERE luma > 30 AND luma < 120)
@@ -326,7 +326,7 @@ def offset_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _signature_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("cur"))
     # consecutive signatures meet by an equi-join on the number before; the array doesn't go through a window
-    numbered = rows.select("vec_id").withColumn("prev", F.lag("vec_id").over(W.orderBy("vec_id"))).where("prev IS NOT NULL")
+    numbered = matching.with_previous(rows.select("vec_id"), "vec_id")
     ref = rows.select(F.col("vec_id").alias("prev"), F.col("cur").alias("ref"))
     return numbered.join(rows, "vec_id").join(ref, "prev").select("vec_id", "cur", "ref")
 

@@ -52,3 +52,14 @@ def nearest_anchor(frames: DataFrame, anchors: DataFrame, key: str, position: st
     options = F.array(*[F.when(F.col(c).isNotNull(), F.struct((F.abs(F.col("y") - F.col(f"{c}.y")) + F.col("bias")).alias("far"), F.col(f"{c}.here").alias("anchor"))) for c in ("below", "above")])
     found = both.where("i IS NOT NULL").select(key, "i", F.array_min(F.filter(options, lambda x: x.isNotNull())).alias("m"))
     return found.groupBy(key, "i").agg(F.min("m").alias("m")).select(key, "i", F.col("m.anchor").alias("anchor"), F.col("m.far").cast("long").alias("far"))
+
+
+def with_previous(ids: DataFrame, key: str, span: int = 65_536) -> DataFrame:
+    """``ids`` (one long column ``key``) with ``prev``, the next smaller one, where there is one.
+
+    Windows are over ranges of ``span`` numbers; only the largest of each range, a row a range, is put in one order.
+    """
+    part = ids.withColumn("part", F.floor(F.col(key) / span))
+    ends = part.groupBy("part").agg(F.max(key).alias("end")).withColumn("before", F.lag("end").over(W.orderBy("part")))
+    near = part.withColumn("near", F.lag(key).over(W.partitionBy("part").orderBy(key)))
+    return near.join(ends, "part").select(key, F.coalesce("near", "before").alias("prev")).where("prev IS NOT NULL")

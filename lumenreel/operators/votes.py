@@ -76,3 +76,24 @@ def distance_histogram(df: DataFrame, distance: Column, width: float) -> DataFra
     counts = df.groupBy(bin_of(distance, width).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     run, whole = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0), W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     return counts.withColumn("cum_pct", F.round(100 * F.sum("n").over(run) / F.sum("n").over(whole), 6))
+
+
+def exact_quantile(df: DataFrame, value: str, q: float, held: int = 100_000) -> Column:
+    """The quantile of ``value`` (interpolated) as a literal; null if there is no value.
+
+    Approximate quantiles bracket its place until at most ``held`` values are left, which are then looked at exactly, so
+    no task holds all distinct values.
+    """
+    inside = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
+    n = size = inside.count()
+    if not n:
+        return F.lit(None).cast("double")
+    place, below = q * (n - 1), 0
+    while size > held:
+        share = (place - below) / size
+        low, high = inside.agg(F.percentile_approx("v", [max(0.0, share - 0.001), min(1.0, share + 0.001)], 10_000)).first()[0]
+        less, kept = inside.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v").between(low, high))).first()
+        if not below + less <= place or not place + 1 <= below + less + kept - 1 or kept == size:
+            break  # ties or the ends: what is left is small already, or of few distinct values
+        inside, below, size = inside.where(F.col("v").between(low, high)), below + less, kept
+    return F.lit(inside.agg(F.percentile("v", (place - below) / max(1, size - 1))).first()[0])

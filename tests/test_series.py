@@ -114,3 +114,22 @@ def test_best_matches_are_the_same_whichever_side_is_smaller(spark, monkeypatch)
         best = {t: min((-token_set_score(t, o) if t != o else -101, len(o), o) for o in b) for t in a}
         got = {r.text: (r.best, r.best_text) for r in reconcile.best_matches(lines(a), lines(b)).collect()}
         assert got == {t: (min(100, -m[0]), m[2]) for t, m in best.items()}
+
+
+def test_exact_quantile_narrows_to_the_same_value(spark):
+    from lumenreel.operators import votes
+
+    x = np.random.default_rng(3).standard_normal(4000).round(2)
+    df = frame(spark, [(float(v),) for v in x] + [(None,)], "x double")
+    for q in (0.0, 0.013, 0.5, 0.99, 1.0):
+        for held in (100, 100_000):
+            assert abs(spark.range(1).select(votes.exact_quantile(df, "x", q, held)).first()[0] - np.quantile(x, q)) < 1e-9
+    assert spark.range(1).select(votes.exact_quantile(df.limit(0), "x", 0.5)).first()[0] is None
+
+
+def test_previous_ids_across_ranges(spark):
+    from lumenreel.operators import matching
+
+    ids = [-7, 0, 3, 9, 10, 11, 40, 41, 100]
+    got = matching.with_previous(frame(spark, [(k,) for k in ids], "id long"), "id", 10).orderBy("id").collect()
+    assert [(r.id, r.prev) for r in got] == list(zip(ids[1:], ids, strict=False))
