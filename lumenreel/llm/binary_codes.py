@@ -26,7 +26,6 @@ Results for odd input
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Callable, Iterator
 
@@ -53,14 +52,17 @@ def shape_of_tables(n: int, threshold: float = THRESHOLD, recall: float = RECALL
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
-@functools.cache
+#: Rotations made so far, by dimension and seed (a plain dictionary: functions travel to workers by value).
+_MADE: dict[tuple[int, int], list[np.ndarray]] = {}
+
+
 def rotations(dim: int, count: int, seed: int = SEED) -> np.ndarray:
     """``count`` random rotations of ``dim`` dimensions."""
-    out = []
-    for k in range(count):
+    out = _MADE.setdefault((dim, seed), [])
+    for k in range(len(out), count):
         q, r = np.linalg.qr(np.random.default_rng([seed, dim, k]).standard_normal((dim, dim)))
         out.append(q * np.sign(np.diag(r)))
-    return np.stack(out)
+    return np.stack(out[:count])
 
 
 def unit_vectors(column: pa.Array) -> list[np.ndarray | None]:
