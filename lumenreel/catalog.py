@@ -481,3 +481,6 @@ def stitch_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     frames = _motion(spark, sf_dir).select("user_id", "i", F.col("dv").cast("int").alias("dy"), F.lit(0.0).alias("sad"), F.lit(2.0).alias("conf"))
     return place_batch(frames, "user_id", height=100)
+
+
+from lumenreel import pixels  # noqa: E402, F401  (registers its queries here)
