@@ -19,7 +19,7 @@ GREY = """fp AS (SELECT CAST(vec_id // 10 AS VARCHAR) AS video_id, vec_id % 10 A
  CAST(greatest(0, least(255, floor(coalesce(CAST(embedding[k + 1] AS DOUBLE), 0) * 400) + 128)) AS BIGINT) AS v FROM embeddings, range(64) t(k) WHERE len(embedding) = 64)"""
 COLOUR = f"{GREY}, fc AS (SELECT *, v AS r, v * 3 % 256 AS g, v * 7 % 256 AS b FROM fp)"
 MASK = f"""{COLOUR}, md AS (SELECT video_id, y, x, median(v) AS md, count(*) AS n FROM fp GROUP BY ALL),
- ag AS (SELECT video_id, y, x, n >= 4 AND count(*) FILTER (WHERE abs(v - md) <= 30) * 10 >= n * 6 AS hit FROM fp JOIN md USING (video_id, y, x) GROUP BY video_id, y, x, n),
+ ag AS (SELECT video_id, y, x, n >= 4 AND count(*) FILTER (WHERE abs(v - md) <= 18) * 10 >= n * 6 AS hit FROM fp JOIN md USING (video_id, y, x) GROUP BY video_id, y, x, n),
  di AS (SELECT DISTINCT a.video_id, a.y, a.x FROM ag a JOIN ag b ON a.video_id = b.video_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 WHERE b.hit),
  reach AS (SELECT video_id, y, x, y AS sy, x AS sx FROM di UNION SELECT d.video_id, d.y, d.x, r.sy, r.sx FROM reach r JOIN di d ON d.video_id = r.video_id AND abs(d.y - r.y) + abs(d.x - r.x) = 1),
  kept AS (SELECT video_id, sy AS y, sx AS x FROM reach GROUP BY ALL HAVING count(*) >= 12),
@@ -55,7 +55,7 @@ def _placements(frames: DataFrame) -> DataFrame:
 
 
 def _masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fr.overlay_masks(_frames(spark, sf_dir), tolerance=30, grow=1, min_area=12, rows=4)
+    return fr.overlay_masks(_frames(spark, sf_dir), tolerance=18, grow=1, min_area=12, rows=4)
 
 
 def _canvas(spark: SparkSession, sf_dir: str, policy: str) -> DataFrame:
