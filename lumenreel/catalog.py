@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenreel.operators import coverage, matching, reconcile, series, votes
+from lumenreel.plans import guards
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -194,17 +195,20 @@ def starved_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.zones(_placed(spark, sf_dir), "user_id", "y0", "y1", 1)
 
 
-@query(f"WITH {PLACED} SELECT user_id, event_id, w AS w0 FROM pl JOIN (SELECT DISTINCT unnest(range(0, 2000, 50)) AS w) ON y0 < w + 50 AND y1 > w")
+@query(f"""WITH {PLACED}, ws AS (SELECT user_id, unnest(range(CAST(floor(min(y0) / 50) AS BIGINT) * 50, max(y1), 50)) AS w FROM pl GROUP BY user_id)
+SELECT pl.user_id, event_id, w AS w0 FROM pl JOIN ws ON ws.user_id = pl.user_id AND y0 < w + 50 AND y1 > w""")
 def window_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = _placed(spark, sf_dir)
-    users = placed.select("user_id").distinct()
-    windows = users.select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1950).cast("long"), F.lit(50).cast("long"))).alias("w0")).withColumn("w1", F.col("w0") + 50)
+    reach = placed.groupBy("user_id").agg((F.floor(F.min("y0") / 50) * 50).cast("long").alias("lo"), (F.max("y1") - 1).alias("hi"))
+    windows = reach.select("user_id", F.explode(F.sequence("lo", "hi", F.lit(50).cast("long"))).alias("w0")).withColumn("w1", F.col("w0") + 50)
     return coverage.overlapping(placed, windows, "user_id").select("user_id", "event_id", "w0")
 
 
-@query(f"WITH {PLACED} SELECT user_id, event_id, y0 // 64 AS chunk, y0 % 64 AS row_in_chunk FROM pl WHERE y0 >= 0")
+@query(f"""WITH {PLACED}, cv AS (SELECT user_id, event_id, y0 - min(y0) OVER (PARTITION BY user_id) AS y FROM pl)
+SELECT user_id, event_id, y // 64 AS chunk, y % 64 AS row_in_chunk FROM cv""")
 def chunk_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coverage.chunks(_placed(spark, sf_dir).where("y0 >= 0"), "user_id", "y0", 64).select("user_id", "event_id", "chunk", "row_in_chunk")
+    canvas = _placed(spark, sf_dir).withColumn("y", F.col("y0") - F.min("y0").over(W.partitionBy("user_id")))
+    return coverage.chunks(canvas, "user_id", "y", 64).select("user_id", "event_id", "chunk", "row_in_chunk")
 
 
 # -------------------------------------------------------------------------------------- votes and pixels
@@ -331,12 +335,14 @@ def _signature_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.join(rows, "vec_id").join(ref, "prev").select("vec_id", "cur", "ref")
 
 
-@query(f"""WITH {CUM}, k AS (SELECT user_id, i, cum FROM c WHERE i % 5 = 0), d AS (SELECT c.user_id, c.i, k.i AS anchor, abs(c.cum - k.cum) + CASE WHEN k.i % 2 = 0 THEN 0 ELSE 5 END AS far FROM c JOIN k USING (user_id) WHERE c.i % 5 = 3)
+@query(f"""WITH {CUM}, k AS (SELECT user_id, i, cum, CASE WHEN abs(dv) <= 5 THEN 0 ELSE 5 END AS bias FROM c WHERE {REST}),
+ d AS (SELECT c.user_id, c.i, k.i AS anchor, abs(c.cum - k.cum) + k.bias AS far FROM c JOIN k USING (user_id) WHERE NOT (c.i = 0 OR abs(c.dv) <= 20))
 SELECT user_id, i, anchor, CAST(far AS BIGINT) AS far FROM (SELECT *, row_number() OVER (PARTITION BY user_id, i ORDER BY far, anchor) AS r FROM d) WHERE r = 1""")
 def nearest_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = _positions(spark, sf_dir).select("user_id", "i", "cum")
-    bias = F.when(F.col("i") % 2 == 0, 0).otherwise(5)
-    return matching.nearest_anchor(frames.where("i % 5 = 3"), frames.where("i % 5 = 0").withColumn("bias", bias), "user_id", "cum")
+    """Every frame that moves, and the resting one nearest to it; frames that rest less well have a bias."""
+    frames = _positions(spark, sf_dir).select("user_id", "i", "cum", "mad", series.stationary(F.col("dv"), F.col("mad"), 20, 20).alias("rests"))
+    bias = F.when(F.col("mad") <= 5, 0).otherwise(5)
+    return matching.nearest_anchor(frames.where("NOT rests"), frames.where("rests").withColumn("bias", bias), "user_id", "cum")
 
 
 @query()
@@ -348,6 +354,23 @@ def nearest_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.nearest_anchor(frames.join(placed, ["user_id", "i"], "left_anti"), frames.join(placed, ["user_id", "i"]), "user_id", "cum")
 
 
+@query(f"""WITH {MOTION}, b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY i) AS r FROM m WHERE abs(dv) > 20 AND i > 0)
+SELECT user_id, count(*) AS n, count(*) FILTER (WHERE r <= 5) AS listed, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FILTER (WHERE r <= 5) AS frames FROM b GROUP BY user_id""")
+def low_confidence_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's cut list of doubtful frames beside the number of all of them."""
+    doubtful = _motion(spark, sf_dir).where("mad > 20 AND i > 0").select("user_id", "i")
+    out = guards.listed(doubtful, "user_id", "i", 5)
+    return out.select("user_id", "n", F.size("pairs").cast("long").alias("listed"), F.concat_ws(",", F.expr("transform(pairs, p -> cast(p.i AS string))")).alias("frames"))
+
+
+@query("""WITH d AS (SELECT user_id, count(*) AS frames_decoded FROM events GROUP BY user_id), e AS (SELECT o_custkey AS user_id, count(*) AS frames_expected FROM orders GROUP BY o_custkey)
+SELECT user_id, coalesce(frames_decoded, 0) AS frames_decoded, coalesce(frames_expected, 0) AS frames_expected, coalesce(frames_decoded, 0) <> coalesce(frames_expected, 0) AS differs FROM d FULL JOIN e USING (user_id)""")
+def frame_count_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames read against frames announced; orders of a customer stand for what a user's recording announces."""
+    expected = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.count(F.lit(1)).alias("nb_frames"))
+    return guards.frame_counts(read(spark, sf_dir, "events"), expected, "user_id")
+
+
 @query(f"""WITH {MOTION}, w AS (SELECT *, row_number() OVER (ORDER BY abs(dv) DESC, user_id, i) AS r FROM m WHERE abs(dv) > 60 AND NOT {REST}) SELECT user_id, i, round(abs(dv), 6) AS mad FROM w WHERE r <= 10""")
 def worst_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = _motion(spark, sf_dir).where(F.col("mad") > 60)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenreel.functions import image
-from lumenreel.operators.frames import _limit_batches, band_of
+from lumenreel.operators.frames import band_of
 
 #: Canvas rows of one group.
 BUCKET = 64
@@ -27,7 +27,6 @@ def scanlines(frames: DataFrame, placements: DataFrame, masks: DataFrame | None
 
     A placement whose frame isn't there is an error, since it would leave a hole.
     """
-    _limit_batches(frames)
     missing = placements.select("video_id", "i").distinct().join(frames.select("video_id", "i"), ["video_id", "i"], "left_anti")
     first = [(r.video_id, r.i) for r in missing.orderBy("video_id", "i").limit(10).collect()]
     if first:

@@ -1,6 +1,7 @@
 """Operators whose rows carry pixels: signatures, motion from frames, static bands, overlay masks, extents, circles.
 
-Pixels stay in binary columns and never enter a window; Arrow batches keep them few per batch (``FRAMES_PER_BATCH``).
+Pixels stay in binary columns and never enter a window; Spark bounds an Arrow batch by its bytes
+(``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB by default), so a batch holds few large frames or many small ones.
 """
 
 from __future__ import annotations
@@ -14,18 +15,12 @@ from pyspark.sql import functions as F
 
 from lumenreel.functions import image
 
-FRAMES_PER_BATCH = 32
-
 
 def band_of(row) -> np.ndarray:
     shape = (row.h, row.w) if row.pix_fmt == "gray" else (row.h, row.w, 3)
     return np.frombuffer(row.data, np.uint8).reshape(shape)
 
 
-def _limit_batches(df: DataFrame) -> None:
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(FRAMES_PER_BATCH))
-
-
 def crop(frames: DataFrame, top: int, bottom: int) -> DataFrame:
     """Rows top to bottom of each frame, cut from the binary column without Python."""
     depth = F.when(F.col("pix_fmt") == "gray", 1).otherwise(3)
@@ -35,7 +30,6 @@ def crop(frames: DataFrame, top: int, bottom: int) -> DataFrame:
 
 def signatures(frames: DataFrame, segments: int = 16, hpad: int = 40, vpad: int = 0) -> DataFrame:
     """video_id, i, rows (row signature, flattened), k (its width), cols (column signature)."""
-    _limit_batches(frames)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -82,7 +76,6 @@ def static_bands(frames: DataFrame, threshold: float = 12.0, min_run: int = 16,
     """
     from lumenreel.operators.series import widest_run
 
-    _limit_batches(frames)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -104,7 +97,6 @@ def overlay_masks(frames: DataFrame, share: float = 0.6, tolerance: float = 12,
     Frames are cut into strips of ``rows`` rows; a strip's agreement needs only that strip of each (key)frame.  Dilation and
     the size of components need neighbours, so strips (a bit per pixel) meet again per recording for that.
     """
-    _limit_batches(frames)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -134,7 +126,6 @@ def overlay_masks(frames: DataFrame, share: float = 0.6, tolerance: float = 12,
 
 def extents(frames: DataFrame, low: float = 40, high: float = 120, close: tuple[int, int] = (15, 3), pair_dx: int = 6) -> DataFrame:
     """video_id, i, y, r, l: the outermost edges of each row (null: none)."""
-    _limit_batches(frames)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -151,7 +142,6 @@ def extents(frames: DataFrame, low: float = 40, high: float = 120, close: tuple[
 
 def circles(frames: DataFrame, r_min: int = 20, r_max: int = 100, votes: int = 30, min_dist: int = 60) -> DataFrame:
     """video_id, frame, hit (order of strength), cx, cy, r: the circles of each frame."""
-    _limit_batches(frames)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -10,14 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenreel.functions import image
-from lumenreel.operators.frames import _limit_batches, band_of
+from lumenreel.operators.frames import band_of
 
 CHANNELS = {"R": 0, "G": 1, "B": 2}
 
 
 def pixels(frames: DataFrame, x0: int, x1: int, y0: int, y1: int) -> DataFrame:
     """video_id, i, y, x, r, g, b, luma of a small region of each frame."""
-    _limit_batches(frames)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -55,7 +54,6 @@ def canvas_region(canvas: DataFrame, y0: int, y1: int, x0: int, x1: int) -> Data
 
 def overlays_of(frames: DataFrame, top: int, bottom: int) -> DataFrame:
     """Per frame the largest dark disc (x0, y0, x1, y1, null: none) and the scroll bar's columns (bar0, bar1)."""
-    _limit_batches(frames)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -10,12 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenreel.functions import image
-from lumenreel.operators.frames import _limit_batches, band_of
+from lumenreel.operators.frames import band_of
 
 
 def pair_differences(frames: DataFrame, moves: DataFrame, warn: float = 1.0, least: int = 50) -> DataFrame:
     """video_id, i, dy, overlap, pair_mad, bad: each frame against the one before, moved by dy."""
-    _limit_batches(frames)
     now = frames.join(moves.select("video_id", "i", "dy"), ["video_id", "i"])
     before = frames.select("video_id", (F.col("i") + 1).alias("i"), F.col("data").alias("ref"))
 
@@ -58,7 +57,6 @@ def placement_differences(frames: DataFrame, placed: DataFrame, canvas: DataFram
                 out.append((row.video_id, row.i, row.abs_y, here if np.isfinite(here) else None, d, best if np.isfinite(best) else None))
             yield pd.DataFrame(out, columns=["video_id", "i", "abs_y", "canvas_mad", "best_dy_offset", "best_mad"])
 
-    _limit_batches(frames)
     out = near.join(tall, ["video_id", "i"]).select("video_id", "i", "h", "w", "pix_fmt", "data", "abs_y", "rows").mapInPandas(run, "video_id string, i long, abs_y long, canvas_mad double, best_dy_offset int, best_mad double")
     wrong = F.col("canvas_mad").isNull() | (F.col("best_mad") + 0.5 < F.col("canvas_mad")) | (F.col("canvas_mad") > warn)
     return out.withColumn("bad", wrong)

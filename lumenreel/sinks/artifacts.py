@@ -84,9 +84,8 @@ def coverage_bar(segments: DataFrame, key: str = "video_id", width: int = 24) ->
 
 def frame_images(frames: DataFrame, wanted: DataFrame) -> DataFrame:
     """video_id, i, png of the wanted frames (keyframes, or the deepest frames of drags)."""
-    from lumenreel.operators.frames import _limit_batches, band_of
+    from lumenreel.operators.frames import band_of
 
-    _limit_batches(frames)
 
     def run(batches):
         for pdf in batches:
