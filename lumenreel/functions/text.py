@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ TOKEN = "[A-Za-z][A-Za-z']+"
 
 def normalise_line(line: Column) -> Column:
     """White space runs become one space; trimmed."""
-    return F.trim(F.regexp_replace(line, SPACES, " "))
+    return F.trim(F.regexp_replace(line, f"(?! (?!{SPACES[:-1]})){SPACES}", " "))  # a plain space between words stays as it is
 
 
 def tokens(text: Column, least: int = 4) -> Column:
@@ -37,6 +38,44 @@ def _common(x: str, y: str) -> int:
     return len(x) - (row & ((1 << len(x)) - 1)).bit_count()
 
 
+def common_many(xs: list[str], ys: list[str], need: np.ndarray) -> np.ndarray:
+    """:func:`_common` of many pairs side by side; of a pair that can't reach ``need``, a number below it."""
+    n, long_x, long_y = len(xs), np.array([len(x) for x in xs], np.int64), np.array([len(y) for y in ys], np.int64)
+    points = lambda some: np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), "<u4")
+    places = lambda long: np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
+    row_x, row_y, at_x, x = np.repeat(np.arange(n), long_x), np.repeat(np.arange(n), long_y), places(long_x), points(xs)
+    letters = np.flatnonzero(np.bincount(x, minlength=0x110000))
+    width, words = len(letters) + 1, int(-(-long_x.max(initial=1) // 64))
+    number = np.full(0x110000, width - 1)  # the last: in no x
+    number[letters] = np.arange(width - 1)
+    table = np.zeros((words, n * width), np.uint64)
+    np.add.at(table.reshape(-1), at_x // 64 * (n * width) + row_x * width + number[x], np.uint64(1) << (at_x % 64).astype(np.uint64))
+    steps = np.tile(np.arange(n) * width + width - 1, (int(long_y.max(initial=0)), 1))
+    steps[places(long_y), row_y] = row_y * width + number[points(ys)]
+    rows = np.full((words, n), np.iinfo(np.uint64).max, np.uint64)
+    out, live = np.zeros(n, np.int64), np.arange(n)
+    for k in range(len(steps)):
+        at, carry = steps[k][live] if len(live) < n else steps[k], None
+        for w in range(words):
+            row = rows[w]
+            hit = table[w].take(at) & row
+            total = row + hit
+            over = total < row
+            if carry is not None:
+                total += carry
+                over |= total < carry
+            carry = over.astype(np.uint64)
+            rows[w] = total | (row ^ hit)
+        if k % 16 == 15 or k == len(steps) - 1:
+            out[live] = 64 * words - np.bitwise_count(rows).sum(0, dtype=np.int64)
+            left = long_y[live] - k - 1
+            go = (left > 0) & (out[live] + left >= need[live])
+            live, rows = live[go], rows[:, go]
+            if not len(live):
+                break
+    return out
+
+
 def token_set_score(a: str | None, b: str | None) -> int:
     """0 to 100: how alike two lines are as sets of words, the best of three comparisons, truncated.
 

@@ -7,17 +7,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenreel.functions.text import normalise_line, score_bound, token_set_score, tokens
+from lumenreel.functions.text import common_many, normalise_line, score_bound, token_set_score, tokens
 
 
 def lines_of(df: DataFrame, container: str, text: str, least: int = 3) -> DataFrame:
     """container, line_no, text: the normalised lines of a column that have at least ``least`` characters."""
-    rows = df.select(F.col(container).alias("container"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "raw"))
-    rows = rows.select("container", F.col("line_no").cast("long").alias("line_no"), normalise_line(F.col("raw")).alias("text"))
+    # normalised before they become rows: the filter by length would otherwise do it again
+    rows = df.select(F.col(container).alias("container"), F.posexplode(F.transform(F.split(text, "\n", -1), normalise_line)).alias("line_no", "text"))
+    rows = rows.select("container", F.col("line_no").cast("long").alias("line_no"), "text")
     return rows.where(F.length("text") >= least)
 
 
@@ -124,6 +126,145 @@ def _scan(asked, enough: int, least: int):
     return scan
 
 
+#: Cells that a line's characters are counted in, by code point: a first and a second look.  Counts end at ``MOST``.
+COARSE, FINE, MOST = 16, 64, 16_000
+#: Lines that are taken at once, and pairs of lines that one step holds.
+STEP, PAIRS = 4_096, 200_000
+
+
+def matched(left: DataFrame, right: DataFrame, limit: int = 85) -> DataFrame:
+    """The distinct texts of both sides that score ``limit`` (1 to 100) or more with some text of the other: side (0: left), text.
+
+    The smaller side goes to every task, at most ``QUERIES`` texts at a time, the other is read where it is; one pass serves both
+    sides.  Every pair is decided: what the two sets of words share settles the two comparisons with the common words, from an
+    inverted index; the third can't reach the limit if the characters differ too much in number, cell by cell, and is computed otherwise.
+    """
+    ours, theirs = left.select("text").distinct(), right.select("text").distinct()
+    few = [r.text for r in theirs.limit(QUERIES + 1).collect()]
+    many, side, blocks = ours, 0, [few] if few else []
+    if len(few) > QUERIES:
+        asking, offered = ours.count(), theirs.count()
+        many, small, side = (theirs, ours, 1) if asking < offered else (ours, theirs, 0)
+        n = -(-min(asking, offered) // QUERIES)
+        blocks = ([r.text for r in small.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).collect()] for k in range(n))
+    out = many.where("false").select(F.lit(0).alias("side"), "text")
+    for block in blocks:
+        shared = many.sparkSession.sparkContext.broadcast(block)
+        out = out.unionByName(many.mapInArrow(_match(shared, side, limit), "side int, text string"))
+    return out.distinct()
+
+
+def _char_counts(joined: list[str], length: np.ndarray) -> np.ndarray:
+    """A row per text: its characters by cell."""
+    points = np.frombuffer("".join(joined).encode("utf-32-le", "surrogatepass"), "<u4")
+    row = np.repeat(np.arange(len(joined)), length)
+    return np.minimum(np.bincount(row * FINE + points % FINE, minlength=len(joined) * FINE), MOST).reshape(-1, FINE).astype(np.int16)
+
+
+def _coarse(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(counts.reshape(len(counts), FINE // COARSE, COARSE).sum(1, dtype=np.int32), MOST).astype(np.int16)
+
+
+def _match(few, side: int, limit: int):
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {t: set(t.split()) for t in few.value if t is not None}
+        bare = {t for t, w in held.items() if not w}  # without a word: alike only if equal
+        texts = sorted(held.keys() - bare, key=lambda t: (sum(map(len, held[t])) + len(held[t]), t))
+        joined = [" ".join(held[t]) for t in texts]
+        size = np.array([len(j) for j in joined], np.int64)
+        fine = _char_counts(joined, size)
+        coarse = _coarse(fine)
+        index: dict[str, list[int]] = {}
+        for k, t in enumerate(texts):
+            for w in held[t]:
+                index.setdefault(w, []).append(k)
+        number = {w: k for k, w in enumerate(index)}
+        occurs = np.array([len(v) for v in index.values()], np.int64)
+        first = np.cumsum(occurs) - occurs
+        posting = np.array([k for v in index.values() for k in v], np.int64)
+        weight = np.array([len(w) + 1 for w in index], np.float64)
+        found = np.zeros(len(texts), bool)
+
+        def settle(some: list, words: list[set[str]], long: np.ndarray, hit: np.ndarray) -> None:
+            for x, y in some and [map(np.concatenate, zip(*some, strict=True))]:
+                go = ~(hit[x] & found[y])
+                x, y = x[go], y[go]
+                near = _near([words[k] for k in x], [held[texts[k]] for k in y], long[x] + size[y], limit)
+                hit[x[near]] = True
+                found[y[near]] = True
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, STEP):
+                rows = [t for t in batch.column(0).slice(at, STEP).to_pylist() if t is not None]
+                yield _rows(side, [t for t in rows if t in bare])
+                yield _rows(1 - side, [t for t in rows if t in bare])
+                words = [set(t.split()) for t in rows]
+                long = np.array([sum(map(len, w)) + len(w) - 1 for w in words], np.int64)
+                order = np.argsort(long, kind="stable")[np.count_nonzero(long < 0) :]
+                hit = np.zeros(len(rows), bool)
+                maybe, waiting = [], 0
+                for part in np.array_split(order, max(1, -(-len(order) * len(texts) // PAIRS))) if len(texts) else []:
+                    if not len(part):
+                        continue
+                    # what the words share; with a word's length and one more, the sum is that of the joined words and one more
+                    known = [[k for w in words[i] if (k := number.get(w)) is not None] for i in part]
+                    ids = np.array([k for some in known for k in some], np.int64)
+                    times = occurs[ids]
+                    line = np.repeat(np.repeat(np.arange(len(part)), [len(some) for some in known]), times)
+                    place = np.repeat(first[ids] - np.cumsum(times) + times, times) + np.arange(times.sum())
+                    both = np.bincount(line * len(texts) + posting[place], np.repeat(weight[ids], times), len(part) * len(texts))
+                    cells = np.flatnonzero(both)
+                    i, k = np.divmod(cells, len(texts))
+                    sect, least = both[cells] - 1, np.minimum(long[part][i], size[k])
+                    sure = 100 - 100 * (least - sect) / (sect + least) >= limit
+                    hit[part[i[sure]]] = True
+                    found[k[sure]] = True
+                    # whole sets of words: texts of lengths too far apart are out at once
+                    low = np.searchsorted(size, long[part[0]] * limit / (200 - limit) - 1)
+                    high = np.searchsorted(size, long[part[-1]] * (200 - limit) / limit + 1, "right")
+                    if low >= high or hit[part].all() and found[low:high].all():
+                        continue
+                    mine = _char_counts([" ".join(words[i]) for i in part], long[part])
+                    sums = long[part][:, None] + size[None, low:high]
+                    apart = np.abs(_coarse(mine)[:, None, :] - coarse[None, low:high]).sum(2, dtype=np.int32)
+                    open_ = (100 - 100 * apart / sums >= limit) & ~(hit[part][:, None] & found[None, low:high])
+                    i, k = np.nonzero(open_)
+                    for of in range(0, len(i), PAIRS // 10):
+                        a, b = i[of : of + PAIRS // 10], k[of : of + PAIRS // 10] + low
+                        edits = np.abs(mine[a] - fine[b]).sum(1, dtype=np.int32)
+                        near = 100 - 100 * edits / (long[part][a] + size[b]) >= limit
+                        a, b = a[near], b[near]
+                        maybe.append((part[a], b))
+                        waiting += len(a)
+                        if waiting >= PAIRS // 10:
+                            settle(maybe, words, long, hit)
+                            maybe, waiting = [], 0
+                settle(maybe, words, long, hit)
+                yield _rows(side, [rows[k] for k in np.flatnonzero(hit)])
+        yield _rows(1 - side, [texts[k] for k in np.flatnonzero(found)])
+
+    return match
+
+
+def _near(ones: list[set[str]], twos: list[set[str]], sums: np.ndarray, limit: int) -> np.ndarray:
+    """Whether the own words of either set are near enough, with what they share before them (lengths of both: ``sums``)."""
+    xs, ys = [" ".join(sorted(b - a)) for a, b in zip(ones, twos, strict=True)], [" ".join(sorted(a - b)) for a, b in zip(ones, twos, strict=True)]
+    both = np.array([len(x) + len(y) for x, y in zip(xs, ys, strict=True)], np.int64)
+    common = np.zeros(len(xs), np.int64)
+    order = np.array(sorted(range(len(xs)), key=lambda k: len(xs[k])), np.int64)
+    need = np.floor((both - (100 - limit) * sums / 100) / 2).astype(np.int64)
+    # tables of bits by pair and letter: fewer pairs at a time if they are long
+    while len(order):
+        some = order[: max(1, min(4_096, 1_000_000 // (len(xs[order[min(len(order), 4_096) - 1]]) + 64)))]
+        common[some] = common_many([xs[k] for k in some], [ys[k] for k in some], need[some])
+        order = order[len(some) :]
+    return 100 - 100 * (both - 2 * common) / sums >= limit
+
+
+def _rows(side: int, texts: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([side] * len(texts), pa.int32()), pa.array(texts, pa.string())], ["side", "text"])
+
+
 def missing_fuzzy(left: DataFrame, right: DataFrame, limit: int = 85) -> DataFrame:
     """Fuzzy left anti-join: the texts of ``left`` whose best score is below ``limit``."""
     return best_matches(left, right, enough=limit).where(F.col("best") < limit)
@@ -156,13 +297,17 @@ def share(part: Column, whole: Column) -> Column:
 
 def report(left: DataFrame, right: DataFrame, exact: bool = False, limit: int = 85) -> DataFrame:
     """One row: distinct lines of either side, those without a match, recall and precision in per cent."""
-    # only the number of lines below the limit counts, not their scores
-    miss = (lambda a, b: missing_exact(a, b)) if exact else (lambda a, b: best_matches(a, b, limit, limit).where(F.col("best") < limit))
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    parts = [count(left.select("text").distinct(), "n_source"), count(right.select("text").distinct(), "n_stitched"), count(miss(left, right), "missing"), count(miss(right, left), "unmatched")]
+    parts = [count(left.select("text").distinct(), "n_source"), count(right.select("text").distinct(), "n_stitched")]
+    if exact:
+        parts += [count(missing_exact(left, right), "missing"), count(missing_exact(right, left), "unmatched")]
+    else:  # only whether a line reaches the limit counts, not its score
+        parts.append(matched(left, right, limit).agg(F.count_if(F.col("side") == 0).alias("missing"), F.count_if(F.col("side") == 1).alias("unmatched")))
     out = parts[0]
     for p in parts[1:]:
         out = out.crossJoin(p)  # one row each
+    if not exact:
+        out = out.withColumns({"missing": F.col("n_source") - F.col("missing"), "unmatched": F.col("n_stitched") - F.col("unmatched")})
     out = out.withColumn("recall", share(F.col("n_source") - F.col("missing"), F.col("n_source")))
     return out.withColumn("precision", share(F.col("n_stitched") - F.col("unmatched"), F.col("n_stitched")))
 

@@ -116,6 +116,41 @@ def test_best_matches_are_the_same_whichever_side_is_smaller(spark, monkeypatch)
         assert got == {t: (min(100, -m[0]), m[2]) for t, m in best.items()}
 
 
+def test_matched_lines_of_both_sides_are_those_of_brute_force(spark, monkeypatch):
+    from lumenreel.functions.text import token_set_score
+
+    rng = np.random.default_rng(8)
+    words = ["a", "ab", "alpha", "alphb", "beta", "gamma", "gamna", "delta", "é", "日本", "日本語", "eps", "zeta" * 30, "zetb" * 30]
+    few, many = ({" ".join(rng.choice(words, int(rng.integers(1, 6)))) for _ in range(n)} for n in (12, 90))
+    lines = lambda some: frame(spark, [(1, k, t) for k, t in enumerate(sorted(some))], "container long, line_no long, text string")
+    for queries in (5, 1_000):
+        monkeypatch.setattr(reconcile, "QUERIES", queries)
+        for a, b, limit in ((many, few, 85), (few, many, 60), (few, set(), 85)):
+            hits = [(x, y) for x in a for y in b if token_set_score(x, y) >= limit]
+            got = [(r.side, r.text) for r in reconcile.matched(lines(a), lines(b), limit).collect()]
+            assert sorted(got) == sorted({(0, x) for x, _ in hits} | {(1, y) for _, y in hits})
+
+
+def test_fuzzy_report_scores_no_pair_alone(spark, monkeypatch):
+    # 400 by 40 lines of one alphabet were 32,000 calls of Python code, too slow for 0.1 GB
+    rng = np.random.default_rng(2)
+    line = lambda: " ".join("".join(rng.choice(list("etaoinshr"), 5)) for _ in range(20))
+    some = [line() for _ in range(400)]
+    frames = [frame(spark, [(1, k, t) for k, t in enumerate(x)], "container long, line_no long, text string") for x in (some, [line() for _ in range(39)] + [some[0] + " more"])]
+    monkeypatch.setattr(reconcile, "score_bound", None)
+    monkeypatch.setattr(reconcile, "token_set_score", None)
+    row = reconcile.report(*frames).first()
+    assert (row.n_source, row.n_stitched, row.missing, row.unmatched) == (400, 40, 399, 39)
+
+
+def test_normalised_lines_of_odd_white_space(spark):
+    import re
+
+    texts = ["a b  c", " a ", "a \t b", "a\t b", "a\u00a0 b \u3000", "  ", "a \u2003", "\u001c a b\u0085c d", "x  y z   "]
+    got = [r.text for r in reconcile.lines_of(frame(spark, [(1, "\n".join(texts))], "id long, text string"), "id", "text", 0).orderBy("line_no").collect()]
+    assert got == [re.sub(r"[\s\u00a0]+", " ", t).strip() for t in texts]
+
+
 def test_exact_quantile_narrows_to_the_same_value(spark):
     from lumenreel.operators import votes
 
