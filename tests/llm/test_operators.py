@@ -680,3 +680,15 @@ def test_pieces_agree_with_the_library(spark):
         assert r.ids_sha256 == hashlib.sha256(np.array(want[r.doc_id], "<u4").tobytes()).hexdigest() and r.decoded_sha256 == hashlib.sha256(back[r.doc_id].encode()).hexdigest()
     assert all(encoder.merge(s) == encoder.merge_many([s])[0] for s in ["▁hello", "▁", "日本", "a🎉b", "▁▁▁▁"])
     assert encode_documents(df.limit(0), model_bytes()).count() == 0
+
+
+@pytest.mark.parametrize("operator", ["digest_documents"])
+def test_every_new_stretch_is_compared_with_the_library(spark, monkeypatch, operator):
+    from lumenreel.llm import pieces
+
+    plain = pieces.AgendaEncoder.merge_many
+    df = documents(spark, ["one two three four five six seven eight nine ten", "two  spaces\nline "])
+    for wrong in ("▁two", "▁three", "▁nine", "▁▁spaces", "▁"):  # one by one: a sample would miss some
+        monkeypatch.setattr(pieces.AgendaEncoder, "merge_many", lambda self, some, wrong=wrong: [b"\x05\0\0\0" if s == wrong else x for s, x in zip(some, plain(self, some), strict=True)])
+        with pytest.raises(Exception, match="differ from the sentencepiece"):
+            getattr(pieces, operator)(df, model_bytes()).collect()
