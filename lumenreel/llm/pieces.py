@@ -241,10 +241,10 @@ class AgendaEncoder:
         return self.library.decode(ids, num_threads=1) if ids else []
 
 
-def encode_documents(docs: DataFrame, model: bytes, check: int = 8) -> DataFrame:
+def encode_documents(docs: DataFrame, model: bytes, check: bool = True) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, ids (binary), n_tokens, decoded text.
 
-    ``check``: in each Arrow batch, one in so many of the stretches not met before is compared with the sentencepiece library.
+    ``check``: every stretch not met before is compared with the sentencepiece library.
     """
     run = _runner(docs, model, check)
 

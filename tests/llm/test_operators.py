@@ -682,7 +682,7 @@ def test_pieces_agree_with_the_library(spark):
     assert encode_documents(df.limit(0), model_bytes()).count() == 0
 
 
-@pytest.mark.parametrize("operator", ["digest_documents"])
+@pytest.mark.parametrize("operator", ["digest_documents", "encode_documents"])
 def test_every_new_stretch_is_compared_with_the_library(spark, monkeypatch, operator):
     from lumenreel.llm import pieces
 
